@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from motespark.common import table
+from motespark.llm.quantiles import digest, merge, percentiles
+from motespark.llm.spans import shared_spans, span_report
 from motespark.llm.topn import top_n_per_group
 
 
@@ -12,4 +15,37 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n_per_group(table(spark, d, "features"), ["video_id", "frame"], "mass", "feature_id", 5).select("video_id", "frame", "feature_id")
 
 
-QUERIES = {"p1_found": p1_found}
+QS = (0.05, 0.25, 0.5, 0.75, 0.95)
+#: percentiles are at most 2**-20 of their magnitude too low
+BITS = 32
+
+
+def _readings(spark: SparkSession, d: str) -> DataFrame:
+    """Each detection once, on the day it first arrived."""
+    f = table(spark, d, "features")
+    return f.groupBy("video_id", "frame", "feature_id", "mass", "size").agg(F.to_date(F.min("ingested_at")).alias("day"))
+
+
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of mass and size per movie and frame, of daily digests combined."""
+    groups = ["video_id", "frame"]
+    daily = digest(_readings(spark, d), [*groups, "day"], ["mass", "size"], BITS)
+    return percentiles(merge(groups, daily), groups, QS, BITS)
+
+
+def p3_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles per movie, without an error."""
+    rows = table(spark, d, "features").select("video_id", "frame", "feature_id", "mass", "size").distinct()
+    return percentiles(digest(rows, ["video_id"], ["mass", "size"]), ["video_id"], QS)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    s = shared_spans(table(spark, d, "documents"), "doc_id", "text", 200)
+    return s.select("doc_id", F.col("span_start").cast("bigint").alias("span_start"), F.col("span_end").cast("bigint").alias("span_end"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return span_report(table(spark, d, "documents"), "doc_id", "text", 200)
+
+
+QUERIES = {"p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_exact": p3_exact, "p9_found": p9_found, "p9_report": p9_report}

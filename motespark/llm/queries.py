@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motespark.common import table
+from motespark.llm.mixing import mix
+from motespark.llm.packing import pack, packing_report
 from motespark.llm.quantiles import digest, merge, percentiles
 from motespark.llm.spans import shared_spans, span_report
+from motespark.llm.tokens import with_tokens
 from motespark.llm.topn import top_n_per_group
 
 
@@ -39,6 +42,33 @@ def p3_exact(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(digest(rows, ["video_id"], ["mass", "size"]), ["video_id"], QS)
 
 
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack(with_tokens(table(spark, d, "documents"), "text", ["doc_id"]), "doc_id", "n_tokens", table(spark, d, "pack_limits"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(p7_packing(spark, d))
+
+
+def _mix(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    sized = with_tokens(table(spark, d, "documents").where("source IS NOT NULL"), "text", ["doc_id", "source"])
+    total = sized.agg(F.sum("n_tokens")).first()[0] or 0 if whole else None
+    return mix(sized, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"), total=total)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+def p8_report_all(spark: SparkSession, d: str) -> DataFrame:
+    """The report where the total is all tokens there are, so that some targets are out of reach."""
+    return _mix(spark, d, True)[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     s = shared_spans(table(spark, d, "documents"), "doc_id", "text", 200)
     return s.select("doc_id", F.col("span_start").cast("bigint").alias("span_start"), F.col("span_end").cast("bigint").alias("span_end"))
@@ -48,4 +78,4 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return span_report(table(spark, d, "documents"), "doc_id", "text", 200)
 
 
-QUERIES = {"p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_exact": p3_exact, "p9_found": p9_found, "p9_report": p9_report}
+QUERIES = {"p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_exact": p3_exact, "p7_packing": p7_packing, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p8_report_all": p8_report_all, "p9_found": p9_found, "p9_report": p9_report}

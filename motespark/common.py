@@ -35,8 +35,8 @@ def clean(df: DataFrame, *names: str) -> DataFrame:
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
-    """Rounded, with -0.0 turned into 0.0."""
-    return F.round(c, digits) + F.lit(0.0)
+    """Rounded (to millionths of a million from there on), with -0.0 turned into 0.0."""
+    return F.when(F.abs(c) >= 1e6, F.round(c / 1e6, digits) * 1e6).otherwise(F.round(c, digits)) + F.lit(0.0)
 
 
 def need(df: DataFrame, *names: str) -> None:

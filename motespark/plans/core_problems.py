@@ -10,6 +10,7 @@ from motespark.operators.near import near_pairs, points_in_regions
 from motespark.operators.regular_grid import to_regular_grid
 from motespark.operators.rolling import rolling
 from motespark.operators.spikes import flag_readings
+from motespark.plans.sqlutil import OK, r6
 
 #: more videos than this and the small table isn't broadcast
 MAX_VIDEOS = 10_000
@@ -67,11 +68,10 @@ def p6_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_grid": p2_grid, "p4_rolling": p4_rolling, "p5_found": p5_found, "p5_regions": p5_regions, "p6_found": p6_found, "p6_scores": p6_scores}
 
-_USABLE = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
 
 _READ = f"""
 r AS (SELECT t.video_id, t.particle, t.frame, any_value(v.stride) AS stride, min(struct_pack(x := t.x, y := t.y)) AS p
-      FROM traj t JOIN videos v USING (video_id) WHERE t.particle IS NOT NULL AND {_USABLE} GROUP BY ALL),
+      FROM traj t JOIN videos v USING (video_id) WHERE t.particle IS NOT NULL AND {OK} GROUP BY ALL),
 s AS (SELECT video_id, particle, frame, stride::BIGINT AS stride, p.x AS x, p.y AS y,
              lead(frame) OVER (PARTITION BY video_id, particle ORDER BY frame) AS nf FROM r)
 """
@@ -79,7 +79,7 @@ s AS (SELECT video_id, particle, frame, stride::BIGINT AS stride, p.x AS x, p.y
 ORACLES = {
     "p2_found": f"""
 WITH r AS (SELECT DISTINCT t.video_id, t.particle, CAST(floor(t.frame / v.stride) AS BIGINT) AS slot
-           FROM traj t JOIN videos v USING (video_id) WHERE t.particle IS NOT NULL AND {_USABLE}),
+           FROM traj t JOIN videos v USING (video_id) WHERE t.particle IS NOT NULL AND {OK}),
 span AS (SELECT video_id, particle, min(slot) AS a, max(slot) AS b FROM r GROUP BY ALL),
 cells AS (SELECT video_id, particle, unnest(generate_series(a, b)) AS slot FROM span)
 SELECT c.video_id, c.particle, c.slot FROM cells c ANTI JOIN r USING (video_id, particle, slot)""",
@@ -88,7 +88,7 @@ WITH {_READ},
 p AS (SELECT *, coalesce(nf, frame + 1) AS stop FROM s),
 e AS (SELECT *, unnest(generate_series(frame // stride, (stop - 1) // stride)) AS slot FROM p),
 q AS (SELECT *, greatest(frame, slot * stride) AS lo, least(stop, (slot + 1) * stride) AS hi FROM e)
-SELECT video_id, particle, slot, round(sum(x * (hi - lo)) / sum(hi - lo), 6) + 0.0 AS x, round(sum(y * (hi - lo)) / sum(hi - lo), 6) + 0.0 AS y,
+SELECT video_id, particle, slot, {r6('sum(x * (hi - lo)) / sum(hi - lo)', 'x')}, {r6('sum(y * (hi - lo)) / sum(hi - lo)', 'y')},
        CAST(sum(CASE WHEN lo = frame THEN 1 ELSE 0 END) AS BIGINT) AS n_readings,
        CAST(sum(CASE WHEN lo = frame THEN 1 ELSE 0 END) = 0 AS BIGINT) AS filled,
        round(sum(greatest(least(hi, frame + stride) - lo, 0)) / CAST(any_value(stride) AS DOUBLE), 6) AS coverage
@@ -106,15 +106,15 @@ w AS (SELECT video_id, particle, frame,
 FROM d WINDOW w7 AS (PARTITION BY video_id, particle ORDER BY frame RANGE BETWEEN 6 PRECEDING AND CURRENT ROW),
               w30 AS (PARTITION BY video_id, particle ORDER BY frame RANGE BETWEEN 29 PRECEDING AND CURRENT ROW))
 SELECT DISTINCT video_id, particle, frame, """ + ", ".join(
-        f"n_{v}_{n}, round(sum_{v}_{n}, 6) + 0.0 AS sum_{v}_{n}, round(avg_{v}_{n}, 6) + 0.0 AS avg_{v}_{n}, round(max_{v}_{n}, 6) + 0.0 AS max_{v}_{n}" for n in (7, 30) for v in ("x", "y")
+        ", ".join([f"n_{v}_{n}", *(r6(f"{a}_{v}_{n}") for a in ("sum", "avg", "max"))]) for n in (7, 30) for v in ("x", "y")
     ) + " FROM w",
     "p5_found": f"""
-WITH p AS (SELECT DISTINCT video_id, frame, feature_id, x, y, floor(x / 6) AS cx, floor(y / 6) AS cy FROM features WHERE {_USABLE}),
+WITH p AS (SELECT DISTINCT video_id, frame, feature_id, x, y, floor(x / 6) AS cx, floor(y / 6) AS cy FROM features WHERE {OK}),
 q AS (SELECT p.*, cx + dx AS jx, cy + dy AS jy FROM p, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy))
 SELECT DISTINCT a.feature_id AS feature_id_a, b.feature_id AS feature_id_b FROM q a
 JOIN p b ON a.video_id = b.video_id AND a.frame = b.frame AND a.jx = b.cx AND a.jy = b.cy
 WHERE a.feature_id < b.feature_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9.0""",
     "p5_regions": f"""
 SELECT video_id, 'diamond' AS region, count(DISTINCT feature_id) AS n_features FROM features JOIN videos USING (video_id)
-WHERE {_USABLE} AND abs(x - width / 2) / (width / 2) + abs(y - height / 2) / (height / 2) < 1 GROUP BY video_id""",
+WHERE {OK} AND abs(x - width / 2) / (width / 2) + abs(y - height / 2) / (height / 2) < 1 GROUP BY video_id""",
 }

@@ -11,6 +11,7 @@ from motespark.common import present, rounded, table
 from motespark.functions.scalar import fit_powerlaw
 from motespark.operators import filtering as fl
 from motespark.operators import motion as m
+from motespark.plans.sqlutil import OK, r6
 
 MPP, FPS, LAGS = 0.25, 24.0, 20
 K, G = ["particle"], ["video_id"]
@@ -146,7 +147,6 @@ QUERIES = {
     )
 }
 
-OK = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
 T = f"t AS (SELECT DISTINCT video_id, particle, frame, x, y FROM traj WHERE particle IS NOT NULL AND {OK})"
 _NEFF = "CASE WHEN l > n / 2 THEN 1 / (1 + ((n - l) ** 3 + 5 * l - 4 * (n - l) ** 2 * l - n) / (6 * (n - l) * l ** 2)) ELSE 6 * (n - l) ** 2 * l / (2 * n - l + 4 * n * l ** 2 - 5 * l ** 3) END"
 MSD = f"""{T},
@@ -160,7 +160,7 @@ e AS (SELECT *, ({_NEFF}) * obs / n AS raw FROM j),
 z AS (SELECT *, CASE WHEN msd IS NULL THEN 0 ELSE raw END AS n0 FROM e),
 msd AS (SELECT video_id, particle, lag, mx, my, mx2, my2, msd, lag / {FPS} AS lagt,
         n0 * sum(raw) OVER (PARTITION BY video_id, particle) / sum(n0) OVER (PARTITION BY video_id, particle) AS w FROM z)"""
-_R = lambda c, a=None: f"(CASE WHEN abs({c}) >= 1e6 THEN round(({c}) / 1e6, 6) * 1e6 ELSE round({c}, 6) END) + 0.0 AS {a or c}"
+_R = r6
 DRIFT = f"""{T}, st AS (SELECT a.video_id, a.frame, avg(a.y - b.y) AS dy, avg(a.x - b.x) AS dx FROM t a JOIN t b
 ON a.video_id = b.video_id AND a.particle = b.particle AND a.frame = b.frame + 1 GROUP BY ALL)"""
 _CUM = "sum({0}) OVER (PARTITION BY video_id ORDER BY frame)"

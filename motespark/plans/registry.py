@@ -1,8 +1,8 @@
 """All queries of the core, by name."""
 
-from motespark.plans import core_problems, motion_queries
+from motespark.plans import core_problems, link_queries, motion_queries, static_queries
 
 FLAGSHIP = "emsd"
-_MODULES = (core_problems, motion_queries)
+_MODULES = (core_problems, motion_queries, static_queries, link_queries)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: s for m in _MODULES for name, s in m.ORACLES.items()}

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from motespark.common import present, rounded, table
+from motespark.operators import plotdata
 from motespark.operators import static as s
 from motespark.operators.uncertainty import static_error
 from motespark.plans.motion_queries import _r
@@ -56,21 +57,18 @@ def static_error_q(spark, d):
 
 
 def subpx_bias(spark, d):
-    """Histogram of the fractions of positions."""
-    f = features(spark, d)
-    long = f.select(F.inline(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in ("x", "y")])))
-    return long.groupBy("axis", F.floor((F.col("v") - F.floor("v")) * 10).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return plotdata.subpx_bias(features(spark, d))
 
 
 def density_profile(spark, d):
-    """Detections per strip of 32 pixels across each movie, per frame seen."""
-    f = features(spark, d)
-    frames = f.groupBy("video_id").agg(F.countDistinct("frame").alias("frames"))
-    h = f.groupBy("video_id", F.floor(F.col("y") / 32).cast("bigint").alias("strip")).agg(F.count(F.lit(1)).alias("n"))
-    return _r(h.join(frames, "video_id").select("video_id", "strip", (F.col("n") / F.col("frames")).alias("density")))
+    return _r(plotdata.density_profile(features(spark, d), ["video_id"]))
 
 
-QUERIES = {f.__name__.removesuffix("_q"): f for f in (proximity, pair_correlation_2d, pair_correlation_2d_open, pair_correlation_3d, cluster, where_close, drop_close, static_error_q, subpx_bias, density_profile)}
+def scatter_mass_size(spark, d):
+    return _r(plotdata.mass_size(table(spark, d, "features").select("feature_id", "mass", "size").distinct()))
+
+
+QUERIES = {f.__name__.removesuffix("_q"): f for f in (proximity, pair_correlation_2d, pair_correlation_2d_open, pair_correlation_3d, cluster, where_close, drop_close, static_error_q, subpx_bias, density_profile, scatter_mass_size)}
 
 FT = f"f AS (SELECT DISTINCT feature_id, video_id, frame, x, y FROM features WHERE {OK})"
 FM = f"f AS (SELECT DISTINCT feature_id, video_id, frame, x, y, mass FROM features WHERE {OK})"
@@ -144,6 +142,7 @@ n AS (SELECT video_id, frame, min(background) AS background, min(noise) AS noise
 e AS (SELECT feature_id, noise / nullif(raw_mass - {_N7} * background, 0) * {math.sqrt(_X2)!r} AS e FROM f LEFT JOIN n USING (video_id, frame))
 SELECT feature_id, {r6('CASE WHEN e >= 0 THEN e END', 'ep')} FROM e""",
     "subpx_bias": f"WITH {FT}, l AS (SELECT 'x' AS axis, x AS v FROM f UNION ALL SELECT 'y', y FROM f) SELECT axis, CAST(floor((v - floor(v)) * 10) AS BIGINT) AS bin, count(*) AS n FROM l GROUP BY ALL",
+    "scatter_mass_size": f"SELECT {r6('mass')}, {r6('size')} FROM (SELECT DISTINCT feature_id, mass, size FROM features) WHERE NOT isnan(mass) AND NOT isnan(size)",
     "density_profile": f"""WITH {FT}, n AS (SELECT video_id, count(DISTINCT frame) AS frames FROM f GROUP BY ALL), h AS (SELECT video_id, CAST(floor(y / 32) AS BIGINT) AS strip, count(*) AS n FROM f GROUP BY ALL)
 SELECT video_id, strip, {r6('n / frames', 'density')} FROM h JOIN n USING (video_id)""",
 }

@@ -253,4 +253,4 @@ def link_partial(df: DataFrame, groups: Sequence[str], search_range, link_range:
             new[inside] = fold(pdf[inside], pos, t, lambda: Linker(search_range, **kw))
         return pdf.assign(particle=reconnect(pdf, link_range, new, t))
 
-    return df.groupBy(*groups).applyInPandas(run, df.schema) if groups else df.groupBy(F.lit(0)).applyInPandas(run, df.schema)
+    return df.groupBy(*groups).applyInPandas(run, df.schema)

@@ -28,7 +28,7 @@ def _patches(image: np.ndarray, at: np.ndarray, radius: tuple[int, ...]) -> np.n
 def _measures(patch: np.ndarray, radius: tuple[int, ...], mass: np.ndarray) -> dict[str, np.ndarray]:
     """Size, eccentricity and signal of masked neighbourhoods."""
     ndim = len(radius)
-    flat = patch.reshape(len(patch), -1)
+    flat = patch.reshape(len(patch), int(np.prod(patch.shape[1:])))
     out = {}
     with np.errstate(divide="ignore", invalid="ignore"):
         if len(set(radius)) == 1:
@@ -72,7 +72,7 @@ def refine_com(raw: np.ndarray, image: np.ndarray, radius, coords: np.ndarray, m
             break
         at[moving] = np.clip(at[moving] + (off > shift_thresh) - (off < -shift_thresh), rad, top)
     patch = _patches(image, used, radius) * mask
-    mass = patch.reshape(len(patch), -1).sum(axis=1).astype(float)
+    mass = patch.sum(axis=tuple(range(1, ndim + 1))).astype(float)
     out = {n: centre[:, i] for i, n in enumerate(names)} | {"mass": mass}
     if characterize:
         out |= _measures(patch.astype(float), radius, mass)
@@ -87,7 +87,7 @@ def characterize(coords: np.ndarray, image: np.ndarray, radius, scale_factor: fl
     at = np.round(coords).astype(int)
     ok = ((at >= radius) & (at + radius < image.shape)).all(axis=1)
     patch = (_patches(image, at[ok], radius) * binary_mask(radius, ndim)).astype(float)
-    mass = patch.reshape(len(patch), -1).sum(axis=1) / scale_factor
+    mass = patch.sum(axis=tuple(range(1, ndim + 1))) / scale_factor
     found = _measures(patch, radius, mass) | {"mass": mass}
     found["signal"] = found["signal"] / scale_factor
     out = {k: np.full(len(at), np.nan) for k in found}

@@ -104,7 +104,8 @@ class ChannelPredict(RecentVelocity):
             return pos
         at, v = self.profile
         out = pos.copy()
-        near = np.abs(pos[:, 1 - self.flow][:, None] - np.asarray(at)[None]).argmin(axis=1)
+        own = (np.floor(pos[:, 1 - self.flow] / self.size) + 0.5) * self.size
+        near = np.abs(own[:, None] - np.asarray(at)[None]).argmin(axis=1)
         out[:, self.flow] += np.asarray(v)[near] * (t - self.seen[-1][0])
         return out
 

@@ -109,8 +109,8 @@ def forest_scores(feats: np.ndarray, start: np.ndarray, seed: np.ndarray, trees:
             used = sizes > 0
             counts, node_seed, node_seg = sizes[used], child[used], np.repeat(node_seg, 2)[used]
             first = np.cumsum(counts) - counts
-    norm = np.maximum(_mean_path(fit_size), 1e-9)
-    return np.power(2.0, -(depth / trees) / norm[seg])
+    norm = _mean_path(fit_size)[seg]  # 0 for a segment of one row, which is neither usual nor unusual
+    return np.where(norm > 0, np.power(2.0, -(depth / trees) / np.where(norm > 0, norm, 1)), 0.5)
 
 
 def _median(values: np.ndarray, seg: np.ndarray, start: np.ndarray) -> np.ndarray:

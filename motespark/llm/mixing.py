@@ -26,14 +26,11 @@ def apportion(weights: Sequence[float], seats: int, caps: Sequence[int] | None =
     if seats <= 0 or not len(w):
         return np.zeros(len(w), dtype=np.int64)
     # a divisor d gives floor(w / d + 1/2) seats each; bisect for the least d that gives no more than wanted
-    given = lambda d: np.minimum(np.floor(w / d + 0.5), cap).astype(np.int64)
+    given = lambda d: np.where(w > 0, np.minimum(np.floor(np.minimum(w / d, 4e18) + 0.5), cap), 0).astype(np.int64)
     low, high = 0.0, w.max() * 2 + 1
-    step = w[w > 0].min() / (seats + 1) / 2
-    if given(step).sum() <= seats:
-        low = step
     for _ in range(200):
         mid = (low + high) / 2
-        if mid in (low, high):
+        if mid in (low, high) or mid < 1e-300:
             break
         low, high = (low, mid) if given(mid).sum() <= seats else (mid, high)
     out = given(high)

@@ -47,9 +47,8 @@ def link_candidates(df: DataFrame, groups: Sequence[str], ident: str, search_ran
 
 def _links(edges: DataFrame, strategy: str, reach: float, groups: Sequence[str], max_size: int) -> DataFrame:
     """(src, dst) of the chosen links."""
-    n_src = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_s"))
-    n_dst = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n_d"))
-    e = cut(edges.join(n_src, "src").join(n_dst, "dst"))
+    degree = lambda c: F.count(F.lit(1)).over(W.partitionBy(c))
+    e = cut(edges.withColumn("n_d", degree("dst")).withColumn("n_s", degree("src")))
     sure = e.where("n_s = 1 and n_d = 1").select("src", "dst")
     if strategy == "drop":
         return sure
@@ -60,24 +59,49 @@ def _links(edges: DataFrame, strategy: str, reach: float, groups: Sequence[str],
     label = comp.where("id.k = 0").select(F.col("id.id").alias("src"), F.col("component").alias("subnet"))
     rows = hard.select("src", "dst", "dist").join(label, "src")
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        us, si = np.unique(pdf.src.to_numpy(), return_inverse=True)
-        ut, ti = np.unique(pdf.dst.to_numpy(), return_inverse=True)
+    def best(src: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        us, si = np.unique(src, return_inverse=True)
+        ut, ti = np.unique(dst, return_inverse=True)
         if len(us) > max_size:
             raise SubnetOversizeError(f"{len(us)} sources in one subnet; the limit is {max_size}")
-        got = solve(len(us), len(ut), si, ti, pdf.dist.to_numpy(), reach)
-        return pd.DataFrame({"src": us[got >= 0], "dst": ut[got[got >= 0]]})
+        if len(us) == 1 or len(ut) == 1:  # the nearest pair wins
+            k = int(dist.argmin())
+            return src[k : k + 1], dst[k : k + 1]
+        got = solve(len(us), len(ut), si, ti, dist, reach)
+        return us[got >= 0], ut[got[got >= 0]]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Many small subnets a batch; the last one of a batch may go on in the next."""
+        rest: pd.DataFrame | None = None
+        for pdf in parts:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            key = pdf["subnet"].to_numpy()
+            heads = np.flatnonzero(key[1:] != key[:-1]) + 1
+            rest = pdf.iloc[heads[-1] if len(heads) else 0 :]
+            if len(heads):
+                yield whole(pdf.iloc[: heads[-1]], heads[:-1])
+        if rest is not None and len(rest):
+            yield whole(rest, np.zeros(0, dtype=int))
+
+    def whole(pdf: pd.DataFrame, heads: np.ndarray) -> pd.DataFrame:
+        cols = [np.split(pdf[c].to_numpy(), heads) for c in ("src", "dst", "dist")]
+        found = [best(*x) for x in zip(*cols)]
+        return pd.DataFrame({"src": np.concatenate([f[0] for f in found]), "dst": np.concatenate([f[1] for f in found])})
 
     kind = T.StructType([T.StructField("src", edges.schema["src"].dataType), T.StructField("dst", edges.schema["dst"].dataType)])
-    return sure.unionByName(rows.groupBy("subnet").applyInPandas(best, kind))
+    numbered = rows.select(F.col("subnet.id").alias("subnet"), "src", "dst", "dist")
+    return sure.unionByName(numbered.repartition("subnet").sortWithinPartitions("subnet").mapInPandas(run, kind))
 
 
 def chains(points: DataFrame, links: DataFrame) -> DataFrame:
-    """``id`` and ``head``, the first point of its chain, by pointer doubling: as many joins as the longest chain has bits."""
+    """``id`` and ``head``, the first point of its chain, by pointer jumping: the pointers' reach grows fourfold a round."""
     ptr = cut(points.select("id").join(links.select(F.col("dst").alias("id"), F.col("src").alias("to")), "id", "left").select("id", F.coalesce("to", "id").alias("to")))
     while True:
-        step = ptr.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        nxt = cut(ptr.join(step, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+        step = ptr.select(F.col("id").alias("at"), F.col("to").alias("next"))
+        one = ptr.join(step, ptr["to"] == step["at"]).select("id", "to", "next")
+        two = one.join(step.withColumnRenamed("next", "far").withColumnRenamed("at", "mid"), F.col("next") == F.col("mid"))
+        three = two.select("id", "to", "far").join(step, F.col("far") == F.col("at"))
+        nxt = cut(three.select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
         ptr = nxt.select("id", "to")
         if nxt.where("moved").limit(1).isEmpty():
             return ptr.select("id", F.col("to").alias("head"))

@@ -47,48 +47,46 @@ def pairs_within(pts: DataFrame, groups: Sequence[str], ndim: int, radius: float
     return near.where((F.col("dist") <= radius) if inclusive else (F.col("dist") < radius))
 
 
-def proximity(df: DataFrame, groups: Sequence[str], ident: str, pos: Sequence[str] = ("x", "y"), cell: float = 16.0) -> DataFrame:
+def proximity(df: DataFrame, groups: Sequence[str], ident: str, pos: Sequence[str] = ("x", "y"), cell: float | None = None) -> DataFrame:
     """Distance of every feature to its nearest other one in its group; NULL if it is alone.
 
-    A first pass looks within ``cell``; features without a neighbour there look again within four times as far, and so
-    on. Later passes hold the isolated features only. Coincident features have 0.
+    The first pass looks within a radius of twice the group's mean spacing (or ``cell``); features without a neighbour
+    there look again within four times as far, and so on. Later passes hold the isolated features only. Coincident
+    features have 0.
     """
     groups, ndim = list(groups), len(pos)
+    if not groups:
+        df, groups = df.withColumn("_all", F.lit(0)), ["_all"]
     pts = _points(df, groups, ident, pos)
-    sizes = pts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    alone = pts.join(sizes.where("_n = 1"), groups, "left_semi").select(*groups, "id", F.lit(None).cast("double").alias("proximity")) if groups else None
-    found = []
-    left = pts.join(sizes.where("_n > 1"), groups, "left_semi") if groups else pts
-    every, radius = left, float(cell)
-    for k in range(40):
-        near = _nearest(left, every, groups, ndim, radius)
-        done = cut(near)
-        found.append(done)
-        left = left.join(done.select(*groups, "id"), [*groups, "id"], "left_anti")
-        left = cut(left)
+    n, extent = F.count(F.lit(1)), [F.greatest(F.max(f"p{i}") - F.min(f"p{i}"), F.lit(1e-6)) for i in range(ndim)]
+    volume = extent[0]
+    for e in extent[1:]:
+        volume = volume * e
+    # features along a line have the spacing of its length
+    spacing = F.lit(float(cell)) if cell else F.lit(2.0) * F.greatest(F.pow(volume / n, F.lit(1.0 / ndim)), *[e / n for e in extent])
+    stats = pts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.greatest(spacing, F.lit(1e-6)).alias("r"))
+    every = cut(pts.join(stats, groups))
+    out = every.where("_n = 1").select(*groups, "id", F.lit(None).cast("double").alias("proximity"))
+    every = every.where("_n > 1").drop("_n")
+    left = every
+    while True:
+        near = cut(left.join(_nearest(left, every, groups, ndim), [*groups, "id"], "left"))
+        out = out.unionByName(near.where("proximity is not null").select(*groups, "id", "proximity"))
+        left, every = near.where("proximity is null").drop("proximity").withColumn("r", F.col("r") * 4), every.withColumn("r", F.col("r") * 4)
         if left.isEmpty():
-            break
-        radius *= 4
-        if k and radius > 1e9:
-            found.append(left.select(*groups, "id", F.lit(None).cast("double").alias("proximity")))
-            break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    if alone is not None:
-        out = out.unionByName(alone)
-    return out.withColumnRenamed("id", ident)
-
-
-def _nearest(some: DataFrame, every: DataFrame, groups: list[str], ndim: int, radius: float) -> DataFrame:
+            return out.withColumnRenamed("id", ident).drop("_all")
+
+
+def _nearest(some: DataFrame, every: DataFrame, groups: list[str], ndim: int) -> DataFrame:
+    """Nearest other point within the group's radius ``r``."""
     cells = [f"c{i}" for i in range(ndim)]
-    at = lambda d: d.withColumns({f"c{i}": F.floor(F.col(f"p{i}") / F.lit(radius)).cast("bigint") for i in range(ndim)})
-    a = at(some).select(*groups, *cells, F.col("id").alias("a_id"), *[F.col(f"p{i}").alias(f"a{i}") for i in range(ndim)])
+    at = lambda d: d.withColumns({f"c{i}": F.floor(F.col(f"p{i}") / F.col("r")).cast("bigint") for i in range(ndim)})
+    a = at(some).select(*groups, *cells, "r", F.col("id").alias("a_id"), *[F.col(f"p{i}").alias(f"a{i}") for i in range(ndim)])
     for c in cells:
         a = a.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
     b = at(every).select(*groups, *cells, F.col("id").alias("b_id"), *[F.col(f"p{i}").alias(f"b{i}") for i in range(ndim)])
     d2 = sum((F.pow(F.col(f"a{i}") - F.col(f"b{i}"), 2) for i in range(1, ndim)), F.pow(F.col("a0") - F.col("b0"), 2))
-    j = a.join(b, [*groups, *cells]).where(F.col("a_id") != F.col("b_id")).withColumn("d", F.sqrt(d2)).where(F.col("d") <= radius)
+    j = a.join(b, [*groups, *cells]).where(F.col("a_id") != F.col("b_id")).withColumn("d", F.sqrt(d2)).where(F.col("d") <= F.col("r"))
     return j.groupBy(*groups, F.col("a_id").alias("id")).agg(F.min("d").alias("proximity"))
 
 

@@ -22,7 +22,7 @@ def features(spark, d, *cols):
 
 
 def proximity(spark, d):
-    return _r(s.proximity(features(spark, d), G, "feature_id", cell=24.0))
+    return _r(s.proximity(features(spark, d), G, "feature_id"))
 
 
 def pair_correlation_2d(spark, d):

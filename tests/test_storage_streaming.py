@@ -84,3 +84,10 @@ def test_common(spark):
     assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     df = spark.range(5)
     assert free_name(df, "ID") != "ID" and small_side(df, 2) is df and small_side(df, 5).count() == 5
+
+
+def test_api(spark):
+    from motespark import api
+
+    assert {"emsd", "link", "locate", "FrameStore", "rolling"} <= set(api.__all__)
+    assert api.dependencies()["pyspark"] and api.performance_report(spark)["spark.master"].startswith("local")

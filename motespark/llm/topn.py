@@ -73,7 +73,7 @@ def _ranker(groups: list[str], score: str, ident: str, n: int, rank: str, part:
 
 
 def top_n_per_group(
-    df: DataFrame, groups: Sequence[str], score: str, ident: str, n: int, keep: Sequence[str] = (), position: str = "position"
+    df: DataFrame, groups: Sequence[str], score: str, ident: str, n: int, keep: Sequence[str] = (), position: str = "position", partitions: int | None = None
 ) -> DataFrame:
     """The ``n`` rows of highest ``score`` of every group, equal scores by the smaller ``ident``.
 
@@ -84,7 +84,7 @@ def top_n_per_group(
 
     Rows whose score is NULL or NaN never count. A NULL group is a group of its own. Rows of one group with equal
     score and ident are one row (which of them is kept is open if ``keep`` columns differ). An empty input, or ``n``
-    below 1, gives no rows. Returns groups, ident, score, ``keep`` and ``position`` (1 is best).
+    below 1, gives no rows. ``partitions`` sets the number of ranges, else Spark's setting holds. Returns groups, ident, score, ``keep`` and ``position`` (1 is best).
     """
     groups, keep = list(groups), [c for c in keep if c not in {*groups, score, ident}]
     need(df, *groups, score, ident, *keep)
@@ -99,7 +99,8 @@ def top_n_per_group(
     picked = df.select(*cols).where(ok)
     rank, part = free_name(picked, "_rank"), free_name(picked, "_part")
     schema = T.StructType([*picked.schema.fields, T.StructField(rank, T.LongType()), T.StructField(part, T.IntegerType())])
-    local = picked.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = picked.repartitionByRange(partitions, *order) if partitions else picked.repartitionByRange(*order)
+    local = ranged.sortWithinPartitions(*order)
     ranked = local.mapInArrow(_ranker(groups, score, ident, n, rank, part), schema)
     before = W.partitionBy(*groups).orderBy(part).rangeBetween(W.unboundedPreceding, -1)
     exact = ranked.withColumn(position, F.count(F.lit(1)).over(before) + F.col(rank))

@@ -40,7 +40,7 @@ def test_top_n_brute(spark, rows, n):
     data = [(g, rng.choice([1.0, 2.0, 2.5, NAN, None, -0.0]), i) for i in range(300) for g in [rng.choice([None, 1, 2, 2, 2, 2, 3])]]
     data += data[:40]
     df = spark.createDataFrame([(*r, 9, 1, "x") for r in data], "g bigint, score double, id bigint, _rank bigint, _part int, k string").repartition(5)
-    got = rows(top_n_per_group(df, ["g"], "score", "id", n, keep=["_rank", "k"]), "g", "id", "position")
+    got = rows(top_n_per_group(df, ["g"], "score", "id", n, keep=["_rank", "k"], partitions=6), "g", "id", "position")
     want = []
     for g in (None, 1, 2, 3):
         best = sorted({(-s, i) for h, s, i in data if h == g and s is not None and s == s})[:n]
@@ -51,10 +51,17 @@ def test_top_n_brute(spark, rows, n):
 def test_top_n_hot_group_spans_partitions(spark, rows):
     df = spark.range(20_000).select(F.lit("hot").alias("g"), (F.col("id") % 7).cast("double").alias("score"), "id")
     df = df.unionByName(df.where("id < 3").withColumn("g", F.lit("cold")))
-    got = rows(top_n_per_group(df, ["g"], "score", "id", 5), "g", "id", "position")
+    top = top_n_per_group(df, ["g"], "score", "id", 5, partitions=9)
+    got = rows(top, "g", "id", "position")
     assert got == [("cold", 0, 3), ("cold", 1, 2), ("cold", 2, 1)] + [("hot", 6 + 7 * k, k + 1) for k in range(5)]
 
 
+def test_top_n_more_than_a_partition_holds(spark, rows):
+    df = spark.range(400).select(F.lit(1).alias("g"), F.lit(2.0).alias("score"), "id")
+    got = rows(top_n_per_group(df, ["g"], "score", "id", 250, partitions=8), "id", "position")
+    assert got == [(i, i + 1) for i in range(250)]
+
+
 def test_top_n_empty_and_bad(spark):
     df = spark.createDataFrame([], "g bigint, score double, id bigint")
     assert top_n_per_group(df, ["g"], "score", "id", 3).count() == 0

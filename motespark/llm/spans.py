@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,9 @@ from motespark.common import cut, need
 #: fixed odd multipliers and their inverses modulo 2**64
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _TAIL = 24  # bits of a position within one piece of concatenated text
-PIECE = 1 << 22
+PIECE = 1 << 20
+#: places of the anchor that make one block of windows
+STEP = 24
 U = np.uint64
 
 
@@ -76,14 +78,14 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(codes: np.ndarray, ends: np.ndarray, min_len: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first window, number of windows, anchor hash, context hash 1, context hash 2) of concatenated texts.
+    """(document, first window, number of windows, anchor's place after it, anchor hash, two context hashes) of concatenated texts.
 
     A window is a stretch of ``min_len`` characters; its anchor is the gram of least hash in it, the last of equals, so
     that equal windows have equal anchors at equal offsets. Windows next to each other with one anchor are one run; its
     context is all the text that its windows cover.
     """
     n = len(codes)
-    nothing = tuple(np.zeros(0, dtype=np.int64) for _ in range(3)) + tuple(np.zeros(0, dtype=np.uint64) for _ in range(3))
+    nothing = tuple(np.zeros(0, dtype=np.int64) for _ in range(4)) + tuple(np.zeros(0, dtype=np.uint64) for _ in range(3))
     if n < min_len:
         return nothing
     one = Hashes(codes, 0)
@@ -102,11 +104,12 @@ def anchors(codes: np.ndarray, ends: np.ndarray, min_len: int, gram: int) -> tup
     first = valid[head]
     count = np.diff(np.r_[head, len(valid)])
     stop = first + count - 1 + min_len
-    off = (anchor[first] - first).astype(np.uint64)
+    off = anchor[first] - first
+    mark = off.astype(np.uint64)
     two = Hashes(codes, 1)
     with np.errstate(over="ignore"):
-        h1, h2 = mix(one.of(first, stop) ^ mix(off + U(1))), mix(two.of(first, stop) + off)
-    return doc[first], first, count, grams[anchor[first]], h1, h2
+        h1, h2 = mix(one.of(first, stop) ^ mix(mark + U(1))), mix(two.of(first, stop) + mark)
+    return doc[first], first, count, off, grams[anchor[first]], h1, h2
 
 
 def _pieces(texts: list[str], min_len: int) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
@@ -135,41 +138,96 @@ def _fingerprint(min_len: int, gram: int, names: list[str]):
             texts = b.column(2).to_pylist()
             ids, hashes = b.column(0), b.column(1)
             for which, offset, parts in _pieces(texts, min_len):
-                doc, first, count, a, h1, h2 = anchors(np.concatenate(parts), np.cumsum([len(p) for p in parts]), min_len, gram)
+                doc, first, count, off, a, h1, h2 = anchors(np.concatenate(parts), np.cumsum([len(p) for p in parts]), min_len, gram)
                 begin = np.cumsum([0, *(len(p) for p in parts)])[:-1]
                 row = pa.array(np.asarray(which)[doc])
                 place = first - begin[doc] + np.asarray(offset)[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(row), hashes.take(row), pa.array(place), pa.array(count), *[pa.array(x.view(np.int64)) for x in (a, h1, h2)]], names=names
+                    [ids.take(row), hashes.take(row), pa.array(place), pa.array(count), pa.array(off), *[pa.array(x.view(np.int64)) for x in (a, h1, h2)]], names=names
                 )
 
     return run
 
 
+def _gathered(b: pa.RecordBatch, names: tuple[str, ...], stop: Callable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """The stretches of text that listed structs need, some texts at a time: (code points, row and start of each struct, columns).
+
+    ``b`` has the columns doc, th, text, c; a struct's stretch begins at its ``p`` and ends before ``stop(columns)``.
+    """
+    if not b.num_rows:
+        return
+    lists = b.column(3)
+    flat = lists.flatten()
+    cols = {k: flat.field(k).to_numpy(zero_copy_only=False) for k in names}
+    ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
+    starts = np.r_[0, ends[:-1]]
+    low = np.minimum.reduceat(cols["p"], starts)
+    high = np.maximum.reduceat(stop(cols), starts)
+    texts = b.column(2)
+    first, held, parts = 0, 0, []
+    for i in range(b.num_rows):
+        parts.append(_code_points(texts[i].as_py()[low[i] : high[i]]))
+        held += len(parts[-1])
+        if held >= PIECE or i == b.num_rows - 1:
+            base = np.cumsum([0, *(len(x) for x in parts)])[:-1]
+            use = slice(starts[first], ends[i])
+            row = np.repeat(np.arange(first, i + 1), ends[first : i + 1] - starts[first : i + 1])
+            yield np.concatenate(parts), row, cols["p"][use] + (base - low[first : i + 1])[row - first], {k: v[use] for k, v in cols.items()}
+            first, held, parts = i + 1, 0, []
+
+
+def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, number within it) of ``count[which]`` entries each."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _batches(cols: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names)
+    for s in range(0, whole.num_rows, 100_000):
+        yield whole.slice(s, 100_000)
+
+
+def _blocks(min_len: int, gram: int, names: list[str]):
+    """Each context's windows in blocks by the anchor's place in the window.
+
+    A block's hull is all the text that its windows cover; its core is what any window with the anchor in the block's
+    places must hold. Both are hashed with their place around the anchor.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for codes, row, p0, c in _gathered(b, ("p", "n", "off", "h1", "h2", "lo", "hi"), lambda c: c["p"] + c["n"] - 1 + min_len):
+                one, two = Hashes(codes, 0), Hashes(codes, 1)
+                which, i = _spread(c["n"])
+                place = c["off"][which] - i
+                block = place // STEP
+                head = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (block[1:] != block[:-1])])
+                tail = np.r_[head[1:], len(which)] - 1
+                w, i0, i1, blk, at = which[head], i[head], i[tail], block[head], place[head]
+                p = p0[w]
+                anchor = p + c["off"][w]
+                near, far = blk * STEP, np.minimum(blk * STEP + STEP - 1, min_len - gram)
+                with np.errstate(over="ignore"):
+                    u1 = mix(one.of(p + i0, p + i1 + min_len) ^ mix(at.astype(np.uint64) + U(1)))
+                    u2 = mix(two.of(p + i0, p + i1 + min_len) + at.astype(np.uint64))
+                    core = mix(one.of(anchor - near, anchor - far + min_len) ^ mix(blk.astype(np.uint64) + U(7)))
+                same = pa.array(row[w])
+                yield from _batches([b.column(0).take(same), b.column(1).take(same), c["h1"][w], c["h2"][w], c["p"][w], i0, i1, u1.view(np.int64), u2.view(np.int64), core.view(np.int64), c["lo"][w], c["hi"][w]], names)
+
+    return run
+
+
 def _windows(min_len: int, names: list[str]):
-    """Hashes of all windows of the given contexts of each text."""
+    """Hashes of all windows of the given stretches of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, lists = b.column(0).to_pylist(), b.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten()
-            p, n, h1, h2, lo, hi = (flat.field(k).to_numpy() for k in ("p", "n", "h1", "h2", "lo", "hi"))
-            at = 0
-            for text, size in zip(texts, sizes):
-                use = slice(at, at + size)
-                at += size
-                # only the stretch that holds the contexts is hashed
-                begin, end = int(p[use].min()), int((p[use] + n[use]).max()) - 1 + min_len
-                codes = _code_points(text[begin:end])
-                count = n[use]
-                which = np.repeat(np.arange(size), count)
-                i = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                start = p[use][which] - begin + i
-                w = [Hashes(codes, k).of(start, start + min_len) for k in (0, 1)]
-                cols = [h1[use][which], h2[use][which], i, w[0].view(np.int64), w[1].view(np.int64), lo[use][which], hi[use][which]]
-                for s in range(0, len(i), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 100_000]) for c in cols], names=names)
+            for codes, _, p0, c in _gathered(b, ("p", "i0", "i1", "u1", "u2", "lo", "hi"), lambda c: c["p"] + c["i1"] + min_len):
+                which, i = _spread(c["i1"] - c["i0"] + 1)
+                start = (p0 + c["i0"])[which] + i
+                w = [Hashes(codes, k).of(start, start + min_len).view(np.int64) for k in (0, 1)]
+                yield from _batches([c["u1"][which], c["u2"][which], i, *w, c["lo"][which], c["hi"][which]], names)
 
     return run
 
@@ -181,10 +239,12 @@ def shared_spans(df: DataFrame, ident: str, text: str, min_len: int = 200, gram:
     a document with another ident. Positions count code points from 0; ``span_end`` is exclusive.
 
     Every window of ``min_len`` characters names an anchor, its gram of least hash, so equal windows meet under equal
-    anchors. Runs of windows with one anchor are grouped by a 128-bit hash of the text they cover: runs found in two
-    documents are shared as a whole. Where an anchor has runs of different text (the edges of shared stretches), their
-    windows are grouped by 128-bit hashes. Each grouping keeps only the least and the greatest ident, so copies
-    of one text cost one row per map task and never meet in pairs. The result is exact but for hash collisions.
+    anchors. What a run of windows with one anchor covers is its context. Contexts found in two documents are shared as
+    a whole. Where an anchor has contexts of different text (at the edges of shared stretches), they are cut into
+    blocks of windows: a block whose hull is found in two documents is shared, one whose core isn't is not, and only
+    the windows of the rest are compared one by one. All comparisons are of 128-bit hashes (64 bits for the cores and
+    anchors, which only propose) that keep the least and the greatest ident, so copies of one text cost one row in
+    each map task and never meet in pairs. The result is exact but for hash collisions.
 
     A repeat within one document is no case; rows repeated with the same ident count once. Texts that are NULL or
     shorter than ``min_len`` share nothing, rows with a NULL ident are dropped. Whole texts of any length are used.
@@ -193,24 +253,32 @@ def shared_spans(df: DataFrame, ident: str, text: str, min_len: int = 200, gram:
     if not 0 < gram <= min_len:
         raise ValueError("gram must be in 1..min_len")
     kind = df.schema[ident].dataType.simpleString()
+    typed = lambda names: ", ".join(f"{c} {kind if c in ('doc', 'lo', 'hi') else 'bigint'}" for c in names)
+    least = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     docs = df.where(F.col(ident).isNotNull() & (F.length(text) >= min_len)).select(F.col(ident).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    names = ["doc", "th", "p", "n", "a", "h1", "h2"]
-    runs = cut(docs.mapInArrow(_fingerprint(min_len, gram, names), f"doc {kind}, " + ", ".join(f"{c} bigint" for c in names[1:])))
-    ctx = runs.groupBy("a", "h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "th", "p")).alias("at"), F.max("n").alias("n"))
-    by_anchor = (
-        ctx.groupBy("a").agg(F.min("lo").alias("alo"), F.max("hi").alias("ahi"), F.count(F.lit(1)).alias("k"), F.count(F.when(F.col("lo") == F.col("hi"), 1)).alias("open"))
-        .where("alo <> ahi and k > 1 and open > 0").select("a")
-    )
+    names = ["doc", "th", "p", "n", "off", "a", "h1", "h2"]
+    runs = cut(docs.mapInArrow(_fingerprint(min_len, gram, names), typed(names)))
+    at = F.struct("doc", "th", "p", "n", "off")
+    ctx = runs.groupBy("a", "h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(at).alias("at"))
+    by_anchor = ctx.groupBy("a").agg(*least, F.count(F.lit(1)).alias("k"), F.count(F.when(F.col("lo") == F.col("hi"), 1)).alias("open")).where("lo <> hi and k > 1 and open > 0").select("a")
     unsure = ctx.join(by_anchor, "a", "left_semi")
-    lists = unsure.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct(F.col("at.p").alias("p"), "n", "h1", "h2", "lo", "hi")).alias("c"))
-    wn = ["h1", "h2", "i", "w1", "w2", "lo", "hi"]
-    texts = docs.join(lists, ["doc", "th"]).select("text", "c")
-    windows = texts.mapInArrow(_windows(min_len, wn), ", ".join(f"{c} {kind if c in ('lo', 'hi') else 'bigint'}" for c in wn))
-    common = windows.groupBy("w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("w1", "w2")
-    hit = windows.where("lo = hi").join(common, ["w1", "w2"], "left_semi").groupBy("h1", "h2").agg(F.array_sort(F.collect_set("i")).alias("i"))
-    part = hit.select("h1", "h2", F.explode(_ranges("i")).alias("r")).select("h1", "h2", "r.s", "r.e")
-    whole = ctx.where("lo <> hi").select("h1", "h2", F.lit(0).cast("bigint").alias("s"), (F.col("n") - 1).alias("e"))
-    found = runs.select("doc", "th", "p", "h1", "h2").join(whole.unionByName(part), ["h1", "h2"])
+    lists = unsure.groupBy("at.doc", "at.th").agg(F.collect_list(F.struct("at.p", "at.n", "at.off", "h1", "h2", "lo", "hi")).alias("c"))
+    bn = ["doc", "th", "h1", "h2", "p", "i0", "i1", "u1", "u2", "core", "lo", "hi"]
+    beside = lambda listed: docs.join(listed, ["doc", "th"]).select("doc", "th", "text", "c")
+    blocks = cut(beside(lists).mapInArrow(_blocks(min_len, gram, bn), typed(bn)))
+    hulls = blocks.groupBy("u1", "u2", "core").agg(*least, F.min(F.struct("doc", "th", "p", "i0", "i1")).alias("at"))
+    open_core = hulls.groupBy("core").agg(*least, F.count(F.when(F.col("lo") == F.col("hi"), 1)).alias("open")).where("lo <> hi and open > 0").select("core")
+    rest = hulls.join(open_core, "core", "left_semi")
+    lists = rest.groupBy("at.doc", "at.th").agg(F.collect_list(F.struct("at.p", "at.i0", "at.i1", "u1", "u2", "lo", "hi")).alias("c"))
+    wn = ["u1", "u2", "i", "w1", "w2", "lo", "hi"]
+    windows = cut(beside(lists).mapInArrow(_windows(min_len, wn), typed(wn)))
+    common = windows.groupBy("w1", "w2").agg(*least).where("lo <> hi").select("w1", "w2")
+    hit = windows.where("lo = hi").join(common, ["w1", "w2"], "left_semi").groupBy("u1", "u2").agg(F.array_sort(F.collect_set("i")).alias("i"))
+    part = hit.select("u1", "u2", F.explode(_ranges("i")).alias("r")).select("u1", "u2", "r.s", "r.e")
+    full = hulls.where("lo <> hi").select("u1", "u2", F.lit(0).cast("bigint").alias("s"), (F.col("at.i1") - F.col("at.i0")).alias("e"))
+    settled = blocks.where("lo = hi").join(part.unionByName(full), ["u1", "u2"]).select("h1", "h2", (F.col("i0") + F.col("s")).alias("s"), (F.col("i0") + F.col("e")).alias("e"))
+    whole = ctx.where("lo <> hi").select("h1", "h2", F.lit(0).cast("bigint").alias("s"), (F.col("at.n") - 1).alias("e"))
+    found = runs.select("doc", "th", "p", "h1", "h2").join(whole.unionByName(settled), ["h1", "h2"])
     spans = found.select("doc", "th", (F.col("p") + F.col("s")).alias("s"), (F.col("p") + F.col("e") + min_len).alias("e"))
     return _merge(spans).select(F.col("doc").alias(ident), F.col("s").alias("span_start"), F.col("e").alias("span_end"))
 

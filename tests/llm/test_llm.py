@@ -307,6 +307,35 @@ def test_span_pieces(monkeypatch, spark, rows):
     assert windows(parts) == windows(whole)
 
 
+def test_span_batches(monkeypatch):
+    """Window and block hashes don't depend on how many texts are hashed together."""
+    import pyarrow as pa
+
+    from motespark.llm import spans as s
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(60, 200))) for _ in range(12)]
+    lists = []
+    for t in texts:
+        doc, first, count, off, a, h1, h2 = anchors(s._code_points(t), np.array([len(t)]), 40, 10)
+        rows = zip(first.tolist(), count.tolist(), off.tolist(), h1.view(np.int64).tolist(), h2.view(np.int64).tolist())
+        lists.append([{"p": p, "n": n, "off": o, "h1": x, "h2": y, "lo": 1, "hi": 1, "i0": 0, "i1": n - 1, "u1": x, "u2": y} for p, n, o, x, y in rows])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(range(12)), pa.array(texts), pa.array(lists)], names=["doc", "th", "text", "c"])
+    wn = ["u1", "u2", "i", "w1", "w2", "lo", "hi"]
+    bn = ["doc", "th", "h1", "h2", "p", "i0", "i1", "u1", "u2", "core", "lo", "hi"]
+    got = []
+    for piece in (1, 300, 1 << 20):
+        monkeypatch.setattr(s, "PIECE", piece)
+        got.append([r for f in (s._windows(40, wn), s._blocks(40, 10, bn)) for out in f(iter([batch, batch.slice(0, 0)])) for r in out.to_pylist()])
+    assert got[0] == got[1] == got[2] and len(got[0]) > 500
+    same: dict = {}
+    for r in got[0]:
+        if "w1" in r:
+            same.setdefault((r["w1"], r["w2"]), 0)
+    windows = {t[i : i + 40] for t in texts for i in range(len(t) - 39)}
+    assert len(same) == len(windows)
+
+
 def test_anchor_functions():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 1 << 60, 100).astype(np.uint64)

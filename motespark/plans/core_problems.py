@@ -94,7 +94,7 @@ SELECT video_id, particle, slot, {r6('sum(x * (hi - lo)) / sum(hi - lo)', 'x')},
        round(sum(greatest(least(hi, frame + stride) - lo, 0)) / CAST(any_value(stride) AS DOUBLE), 6) AS coverage
 FROM q GROUP BY video_id, particle, slot""",
     "p4_rolling": """
-WITH rows_ AS (SELECT DISTINCT video_id, particle, frame, CASE WHEN isnan(x) THEN NULL ELSE x END AS x, CASE WHEN isnan(y) THEN NULL ELSE y END AS y
+WITH rows_ AS (SELECT DISTINCT video_id, particle, frame, CASE WHEN CAST(x AS VARCHAR) = 'nan' THEN NULL ELSE x END AS x, CASE WHEN CAST(y AS VARCHAR) = 'nan' THEN NULL ELSE y END AS y
                FROM traj WHERE particle IS NOT NULL),
 span AS (SELECT video_id, particle, min(frame) AS a, max(frame) AS b FROM rows_ GROUP BY ALL),
 cells AS (SELECT video_id, particle, unnest(generate_series(a, b)) AS frame FROM span),

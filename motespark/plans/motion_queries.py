@@ -212,12 +212,12 @@ e AS (SELECT video_id, particle, k, -sum(c / 12 * ln(c / 12)) AS e FROM c GROUP
 SELECT video_id, particle, round(e, 6) + 0.0 AS entropy FROM (SELECT DISTINCT video_id, particle FROM b) LEFT JOIN m USING (video_id, particle)""",
     "filter_stubs": f"WITH {T} SELECT video_id, particle, frame, {_R('x')}, {_R('y')} FROM t WHERE (video_id, particle) IN (SELECT (video_id, particle) FROM t GROUP BY video_id, particle HAVING count(*) >= 30)",
     "filter_clusters": f"""WITH f AS (SELECT DISTINCT feature_id, mass, size FROM features),
-t AS (SELECT DISTINCT video_id, particle, frame, x, y, feature_id FROM traj WHERE particle IS NOT NULL AND {OK}), j AS (SELECT t.*, CASE WHEN NOT isnan(size) THEN size END AS s, size FROM t JOIN f USING (feature_id)),
+t AS (SELECT DISTINCT video_id, particle, frame, x, y, feature_id FROM traj WHERE particle IS NOT NULL AND {OK}), j AS (SELECT t.*, CASE WHEN CAST(size AS VARCHAR) <> 'nan' THEN size END AS s, size FROM t JOIN f USING (feature_id)),
 k AS (SELECT video_id, particle FROM j GROUP BY ALL HAVING avg(s) < (SELECT quantile_cont(s, 0.6) FROM j))
 SELECT video_id, particle, frame, {_R('size')} FROM j SEMI JOIN k USING (video_id, particle)""",
     "filter_condition": f"WITH {T} SELECT video_id, particle, frame, {_R('x')}, {_R('y')} FROM t WHERE (video_id, particle) IN (SELECT (video_id, particle) FROM t GROUP BY video_id, particle HAVING max(x) - min(x) > 5)",
-    "mass_size_filter": f"SELECT DISTINCT feature_id, video_id, frame, {_R('mass')}, {_R('size')} FROM features WHERE NOT isnan(mass) AND NOT isnan(size) AND mass > 100 AND size < 2.2",
-    "topn": f"""WITH f AS (SELECT DISTINCT feature_id, video_id, frame, mass FROM features WHERE mass IS NOT NULL AND NOT isnan(mass)),
+    "mass_size_filter": f"SELECT DISTINCT feature_id, video_id, frame, {_R('mass')}, {_R('size')} FROM features WHERE CAST(mass AS VARCHAR) <> 'nan' AND CAST(size AS VARCHAR) <> 'nan' AND mass > 100 AND size < 2.2",
+    "topn": f"""WITH f AS (SELECT DISTINCT feature_id, video_id, frame, mass FROM features WHERE mass IS NOT NULL AND CAST(mass AS VARCHAR) <> 'nan'),
 r AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame ORDER BY mass DESC, feature_id) AS k FROM f) SELECT feature_id, video_id, frame, {_R('mass')} FROM r WHERE k <= 3""",
     "verify_integrity": "SELECT video_id, frame, particle, count(*) AS n_rows FROM traj WHERE particle IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
 }

@@ -142,7 +142,7 @@ n AS (SELECT video_id, frame, min(background) AS background, min(noise) AS noise
 e AS (SELECT feature_id, noise / nullif(raw_mass - {_N7} * background, 0) * {math.sqrt(_X2)!r} AS e FROM f LEFT JOIN n USING (video_id, frame))
 SELECT feature_id, {r6('CASE WHEN e >= 0 THEN e END', 'ep')} FROM e""",
     "subpx_bias": f"WITH {FT}, l AS (SELECT 'x' AS axis, x AS v FROM f UNION ALL SELECT 'y', y FROM f) SELECT axis, CAST(floor((v - floor(v)) * 10) AS BIGINT) AS bin, count(*) AS n FROM l GROUP BY ALL",
-    "scatter_mass_size": f"SELECT {r6('mass')}, {r6('size')} FROM (SELECT DISTINCT feature_id, mass, size FROM features) WHERE NOT isnan(mass) AND NOT isnan(size)",
+    "scatter_mass_size": f"SELECT {r6('mass')}, {r6('size')} FROM (SELECT DISTINCT feature_id, mass, size FROM features) WHERE CAST(mass AS VARCHAR) <> 'nan' AND CAST(size AS VARCHAR) <> 'nan'",
     "density_profile": f"""WITH {FT}, n AS (SELECT video_id, count(DISTINCT frame) AS frames FROM f GROUP BY ALL), h AS (SELECT video_id, CAST(floor(y / 32) AS BIGINT) AS strip, count(*) AS n FROM f GROUP BY ALL)
 SELECT video_id, strip, {r6('n / frames', 'density')} FROM h JOIN n USING (video_id)""",
 }

@@ -8,14 +8,14 @@ def _percentiles(groups: str, value: str) -> str:
 WITH d AS (SELECT DISTINCT video_id, frame, feature_id, mass, size FROM features),
 l AS (SELECT {groups}, 'mass' AS metric, mass AS v FROM d UNION ALL SELECT {groups}, 'size', size FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY {groups}, metric ORDER BY v) AS k, count(*) OVER (PARTITION BY {groups}, metric) AS n
-      FROM l WHERE v IS NOT NULL AND NOT isnan(v))
+      FROM l WHERE v IS NOT NULL AND CAST(v AS VARCHAR) <> 'nan')
 SELECT {groups}, metric, CAST(q AS DOUBLE) AS q, {value} AS value, n AS n_values
 FROM r, {_QS} WHERE k = greatest(CAST(ceil(CAST(q AS DOUBLE) * n) AS BIGINT), 1)"""
 
 
 ORACLES = {
     "p1_found": """
-WITH d AS (SELECT DISTINCT video_id, frame, mass, feature_id FROM features WHERE mass IS NOT NULL AND NOT isnan(mass)),
+WITH d AS (SELECT DISTINCT video_id, frame, mass, feature_id FROM features WHERE mass IS NOT NULL AND CAST(mass AS VARCHAR) <> 'nan'),
 r AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame ORDER BY mass DESC, feature_id) AS n FROM d)
 SELECT video_id, frame, feature_id FROM r WHERE n <= 5""",
     "p3_percentiles": _percentiles("video_id, frame", "CASE WHEN v > 0 THEN floor(v / pow(2.0, floor(log2(v)) - 20)) * pow(2.0, floor(log2(v)) - 20) ELSE v END"),

@@ -34,7 +34,8 @@ def link_stream(df: DataFrame, groups: Sequence[str], search_range, pos: Sequenc
 
     The state of a movie is its linker (last positions, memory) and its newest frame, which waits until rows of a
     later frame show that it is complete, or for ``wait`` seconds. Rows of a frame that is already linked are dropped
-    and counted. Rows with a missing position, frame or group are dropped. Use append mode.
+    and counted. Rows with a missing position or frame are dropped. Use append mode; with waiting frames an
+    ``availableNow`` trigger goes on until they time out, a ``once`` trigger ends after its batch.
     """
     pos, groups = list(pos), list(groups)
     fields = list(df.schema.fields)

@@ -55,7 +55,7 @@ def test_stream(spark, tmp_path):
     write(0, [(1, f, float(f), 0.0) for f in range(3)] + [(2, 0, 0.0, 0.0)])
     stream = spark.readStream.schema(P).parquet(str(tmp_path / "in"))
     out = link_stream(stream, ["movie"], 5.0, wait=36000)
-    go = lambda: out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination(180)
+    go = lambda: out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(once=True).start().awaitTermination(180)
     go()
     write(1, [(1, 3, 3.0, 0.0), (1, 4, 4.0, 0.0), (1, 0, 50.0, 50.0), (2, 1, 40.0, 0.0), (2, 2, 40.0, 0.0)])
     go()

@@ -20,7 +20,7 @@ def dependencies() -> dict[str, str | None]:
     return out
 
 
-def performance_report(spark) -> dict[str, str]:
-    """The session's settings that decide how fast queries run."""
+def performance_report(spark) -> dict[str, str | None]:
+    """The session's settings that decide how fast queries run; None where one is neither set nor has a default."""
     keys = ("spark.master", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")
-    return {k: spark.conf.get(k, "") for k in keys}
+    return {k: spark.conf.get(k, None) for k in keys}

@@ -3,128 +3,122 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motespark.common import need, present
+from motespark.common import need, present, small_side
 
 BLOCK = 65_536
-HALO = 512
 CHUNK = 100_000
-MASK = (1 << 64) - 1
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit mixing function, so that random choices depend on the source alone and not on the partition."""
-    x = x.astype(np.uint64, copy=True)
-    with np.errstate(over="ignore"):
-        x += np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _uniform(x: np.ndarray) -> np.ndarray:
-    return (_mix(x) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+#: readings of context on both sides of a block
+CONTEXT = 16
+#: levels of a tree; 2**DEPTH leaves
+DEPTH = 8
+#: bins of the step histogram for a doubling of the step
+BINS = 32
+#: sources whose leaf counts are held at once
+PIECE = 8192
+#: a step below this share of the median step counts as no movement in the usual step
+IDLE = 0.02
 
 
 def _mean_path(n: np.ndarray) -> np.ndarray:
     """Mean depth of an unsuccessful search in a random binary tree of n leaves."""
     n = np.maximum(n.astype(np.float64), 1)
-    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
+    large = 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / n
+    return np.where(n >= 3, large, np.interp(n, [1, 2, 3], [0.0, 1.0, 1.2]))
 
 
-def forest_scores(feats: np.ndarray, start: np.ndarray, seed: np.ndarray, trees: int = 24, sample: int = 256) -> np.ndarray:
-    """Isolation scores in 0..1 of rows in contiguous segments, one forest for each segment.
+@lru_cache(maxsize=8)
+def trees_of(features: int, trees: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, cut) of the inner nodes of every tree in heap order, drawn over the unit cube.
 
-    ``start`` holds the segments' first rows, ``seed`` a 64-bit number for each. A tree is fitted on at most ``sample``
-    rows of its segment and scores them all. The trees of all segments grow together, level by level.
+    A node cuts its own cell at a uniform place along a random feature, whatever the data: trees of all sources are
+    the same, and only the readings that fall into their nodes differ. On every path each feature comes once in as
+    many levels as there are features, which keeps the scores of few trees steady.
     """
-    n, d = feats.shape
-    size = np.diff(np.r_[start, n])
-    seg = np.repeat(np.arange(len(start)), size)
-    fit_size = np.minimum(size, sample)
-    limit = np.ceil(np.log2(np.maximum(fit_size, 2))).astype(np.int64)
-    deepest = int(limit.max(initial=1))
-    depth = np.zeros(n)
-    within = (np.arange(n) - start[seg]).astype(np.uint64)
+    rng = np.random.default_rng(seed)
+    pick, cut = np.empty((trees, (1 << DEPTH) - 1), dtype=np.int64), np.empty((trees, (1 << DEPTH) - 1))
     for t in range(trees):
-        tree_seed = _mix(seed ^ np.uint64((t + 1) * 0x2545F4914F6CDD1D & MASK))
-        train, whole = np.ones(n, dtype=bool), not (size > sample).any()
-        if not whole:
-            draw = _mix(within ^ tree_seed[seg])
-            by = np.lexsort((draw, seg))
-            pos = np.empty(n, dtype=np.int64)
-            pos[by] = np.arange(n) - start[seg]
-            train = pos < sample
-        rows = np.arange(n)  # rows in node order
-        first, node_seed, node_seg = start.copy(), tree_seed.copy(), np.arange(len(start))
-        for level in range(deepest + 1):
-            if not len(rows):
-                break
-            counts = np.diff(np.r_[first, len(rows)])
-            x = feats[rows]
-            if whole:
-                held, low, high = counts, np.minimum.reduceat(x, first, axis=0), np.maximum.reduceat(x, first, axis=0)
-            else:
-                tr = train[rows]
-                held = np.add.reduceat(tr.astype(np.int64), first)
-                low = np.minimum.reduceat(np.where(tr[:, None], x, np.inf), first, axis=0)
-                high = np.maximum.reduceat(np.where(tr[:, None], x, -np.inf), first, axis=0)
-            open_ = high > low
-            done = (held <= 1) | (level >= limit[node_seg]) | ~open_.any(axis=1)
-            of = np.repeat(np.arange(len(first)), counts)
-            if done.any():
-                over = done[of]
-                depth[rows[over]] += level + _mean_path(held)[of[over]]
-                rows, of = rows[~over], of[~over]
-                if not len(rows):
-                    break
-                keep = ~done
-                renumber = np.cumsum(keep) - 1
-                of = renumber[of]
-                low, high, open_, node_seed, node_seg, counts = low[keep], high[keep], open_[keep], node_seed[keep], node_seg[keep], counts[keep]
-                first = np.cumsum(counts) - counts
-            nodes = np.arange(len(first))
-            weight = np.stack([_uniform(node_seed + np.uint64(17 * (k + 1))) for k in range(d)], axis=1)
-            pick = np.where(open_, weight, -1).argmax(axis=1)
-            at = low[nodes, pick] + _uniform(node_seed + np.uint64(7919)) * (high[nodes, pick] - low[nodes, pick])
-            right = feats[rows, pick[of]] >= at[of]
-            cum_right = np.cumsum(right)
-            before = cum_right[first] - right[first]
-            in_right = cum_right - right - before[of]  # rows to the right before this one in its node
-            in_node = np.arange(len(rows)) - first[of]
-            n_right = np.add.reduceat(right.astype(np.int64), first)
-            n_left = counts - n_right
-            place = first[of] + np.where(right, n_left[of] + in_right, in_node - in_right)
-            moved = np.empty_like(rows)
-            moved[place] = rows
-            rows = moved
-            sizes = np.stack([n_left, n_right], axis=1).ravel()
-            child = np.stack([_mix(node_seed ^ np.uint64(1)), _mix(node_seed ^ np.uint64(2))], axis=1).ravel()
-            used = sizes > 0
-            counts, node_seed, node_seg = sizes[used], child[used], np.repeat(node_seg, 2)[used]
-            first = np.cumsum(counts) - counts
-    norm = _mean_path(fit_size)[seg]  # 0 for a segment of one row, which is neither usual nor unusual
-    return np.where(norm > 0, np.power(2.0, -(depth / trees) / np.where(norm > 0, norm, 1)), 0.5)
-
-
-def _median(values: np.ndarray, seg: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Lower median of the finite values of every segment, NaN if there is none."""
-    n = len(start)
-    ok = np.isfinite(values)
-    v, s = values[ok], seg[ok]
-    by = np.lexsort((v, s))
-    count = np.bincount(s, minlength=n)
-    begin = np.cumsum(count) - count
-    out = np.full(n, np.nan)
-    has = count > 0
-    out[has] = v[by][(begin + (count - 1) // 2)[has]]
-    return out
+        low, high, due = np.zeros((1, features)), np.ones((1, features)), rng.random((1, features))
+        for level in range(DEPTH):
+            k = np.arange(1 << level)
+            if level % features == 0:
+                due = rng.random((len(k), features))
+            at = due.argmax(axis=1)
+            place = low[k, at] + rng.random(len(k)) * (high[k, at] - low[k, at])
+            pick[t, len(k) - 1 : 2 * len(k) - 1], cut[t, len(k) - 1 : 2 * len(k) - 1] = at, place
+            low, high = np.repeat(low, 2, axis=0), np.repeat(high, 2, axis=0)
+            high[2 * k, at], low[2 * k + 1, at] = place, place
+            due[k, at] = -1
+            due = np.repeat(due, 2, axis=0)
+    return pick, cut
+
+
+def leaves(mat: np.ndarray, pick: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The leaf of every reading in one tree; ``mat`` has one row for each feature."""
+    n = mat.shape[1]
+    flat, row = np.ascontiguousarray(mat).ravel(), np.arange(n)
+    node = np.zeros(n, dtype=np.int64)
+    for _ in range(DEPTH):
+        node = 2 * node + 1 + (flat.take(pick.take(node) * n + row) >= cut.take(node))
+    return node - ((1 << DEPTH) - 1)
+
+
+def _scores(mat: np.ndarray, seg: np.ndarray, counts_of, trees: int, sample: int, seed: int) -> np.ndarray:
+    """Isolation scores; ``counts_of(tree, leaf)`` gives the fitted readings in every (source, leaf) of a tree."""
+    pick, cut = trees_of(mat.shape[0], trees, seed)
+    n, depth, known = mat.shape[1], np.zeros(mat.shape[1]), np.ones(mat.shape[1], dtype=bool)
+    for t in range(trees):
+        leaf = leaves(mat, pick[t], cut[t])
+        held = counts_of(t, leaf)
+        ns = len(held)
+        key = (seg << DEPTH) + leaf
+        cells = np.flatnonzero(np.bincount(key, minlength=ns << DEPTH))
+        total = held.sum(axis=1)
+        share = np.minimum(1.0, sample / np.maximum(total, 1))[cells >> DEPTH]
+        ladder = [held]
+        for _ in range(DEPTH):
+            ladder.append(ladder[-1].reshape(ns, -1, 2).sum(axis=2))
+        ended, alone = np.full(len(cells), np.nan), np.zeros(len(cells), dtype=bool)
+        for level in range(DEPTH + 1):
+            m = ladder[DEPTH - level].ravel()[cells >> (DEPTH - level)] * share
+            now = ~alone & (m <= 1)
+            ended[now] = level
+            alone |= now
+        ended[~alone] = DEPTH + _mean_path(m[~alone])
+        by_cell = np.zeros(ns << DEPTH)
+        by_cell[cells] = ended
+        depth += by_cell[key]
+        known = (total > 1)[seg]
+    return np.where(known, np.power(2.0, -depth / max(trees, 1) / _mean_path(np.array([256]))[0]), 0.5) if n else depth
+
+
+def forest_scores(mat: np.ndarray, seg: np.ndarray, fit: np.ndarray, trees: int = 50, sample: int = 64, seed: int = 1) -> np.ndarray:
+    """Isolation scores in 0..1 of readings (columns of ``mat``, features scaled to 0..1), one forest for each source.
+
+    ``seg`` numbers the sources in ascending order, ``fit`` marks the readings that the forest is fitted on. A reading
+    is isolated at the first node that holds at most one of ``sample`` fitted readings of its source, in expectation;
+    readings that aren't fitted can't hide it. Where a source has no two fitted readings, nothing is known and scores are 0.5.
+    """
+    score, n = np.zeros(len(seg)), len(seg)
+    if not n:
+        return score
+    at = 0
+    while at < n:
+        stop = int(np.searchsorted(seg, seg[at] + PIECE))
+        part, base = slice(at, stop), seg[at]
+        s, w = seg[part] - base, fit[part].astype(float)
+        ns = int(s[-1]) + 1
+        score[part] = _scores(mat[:, part], s, lambda t, leaf: np.bincount((s << DEPTH) + leaf, weights=w, minlength=ns << DEPTH).reshape(ns, -1), trees, sample, seed)  # noqa: B023
+        at = stop
+    return score
 
 
 def _shift(a: np.ndarray, seg: np.ndarray, by: int) -> np.ndarray:
@@ -139,115 +133,243 @@ def _shift(a: np.ndarray, seg: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def _repeats(v: np.ndarray, seg: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, length) in the run of equal values that each row is in; the first row of a run has place 0."""
+def steps(t: np.ndarray, pos: list[np.ndarray], seg: np.ndarray) -> np.ndarray:
+    """Distance from the reading before, by the square root of the time passed; NaN at the start of a segment."""
+    passed = np.maximum(t - _shift(t.astype(float), seg, -1), 1)
+    return np.sqrt(sum((p - _shift(p, seg, -1)) ** 2 for p in pos)) / np.sqrt(passed)
+
+
+def step_bins(step: np.ndarray) -> np.ndarray:
+    """The histogram bin of positive steps."""
+    return np.floor(np.log2(step) * BINS).astype(np.int64)
+
+
+def step_of(bins: np.ndarray) -> np.ndarray:
+    """The middle of histogram bins."""
+    return np.exp2((bins + 0.5) / BINS)
+
+
+def usual_step(owner: np.ndarray, bins: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """The usual step of each of ``n`` sources from (owner, bin, count) of a histogram, NaN where nothing moves.
+
+    The lower median, taken twice: the second time without steps so short that they are jitter of a reading that
+    stands still. Counts of parts of a source add up, so the result doesn't depend on how a source is cut.
+    """
+    by = np.lexsort((bins, owner))
+    o, b, c = owner[by], bins[by], count[by].astype(float)
+
+    def median(o: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        out = np.full(n, np.nan)
+        if len(o):
+            total = np.bincount(o, weights=c, minlength=n)
+            upto = np.cumsum(c)
+            before = np.r_[0.0, np.cumsum(total)[:-1]][o]
+            hit = np.flatnonzero(upto - before >= np.floor((total[o] - 1) / 2) + 1)
+            first = np.unique(o[hit], return_index=True)
+            out[first[0]] = b[hit[first[1]]]
+        return out
+
+    first = median(o, b, c)
+    keep = b >= first[o] + np.log2(IDLE) * BINS
+    return step_of(median(o[keep], b[keep], c[keep]))
+
+
+def _repeats(v: np.ndarray, seg: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, length) of each reading in its run of nearly equal values; the first reading of a run has place 0.
+
+    A run holds the readings that lie within ``near`` of its first one, so that slow movement doesn't chain into one.
+    """
     n = len(v)
-    new = np.ones(n, dtype=bool)
-    new[1:] = (v[1:] != v[:-1]) | (seg[1:] != seg[:-1]) | ~ok[1:] | ~ok[:-1]
-    head = np.flatnonzero(new)
-    length = np.diff(np.r_[head, n])
-    run = np.cumsum(new) - 1
-    return np.arange(n) - head[run], length[run]
-
-
-def features(t: np.ndarray, pos: np.ndarray, seg: np.ndarray, start: np.ndarray, season: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """(feature matrix, usual step per segment, runs per coordinate) of usable readings sorted by segment and time."""
-    prev_t = _shift(t.astype(float), seg, -1)
-    dt = np.maximum(t - prev_t, 1)
-    hop = np.sqrt(sum((p - _shift(p, seg, -1)) ** 2 for p in pos))
-    step = hop / np.sqrt(dt)
-    usual = _median(np.where(step > 0, step, np.nan), seg, start)
-    scale = np.where(np.isfinite(usual), usual, 1.0)[seg]
-    around = []
-    for p in pos:
-        near = np.stack([_shift(p, seg, k) for k in (-3, -2, -1, 1, 2, 3)])
-        near.sort(axis=0)
-        have = np.isfinite(near).sum(axis=0)
-        mid = np.where(have > 0, near[np.maximum((have - 1) // 2, 0), np.arange(len(p))], p)
-        around.append(p - mid)
-    level = np.sqrt(sum(a**2 for a in around)) / scale
-    back, ahead = step / scale, _shift(step, seg, 1) / scale
-    diff = np.fmin(back, ahead)
-    diff = np.where(np.isfinite(diff), diff, 0.0)
-    phase = np.mod(t, season)
-    by_phase = seg * season + phase
-    order = np.lexsort((level, by_phase))
-    seasonal = np.zeros(len(t))
-    _, begin, count = np.unique(by_phase[order], return_index=True, return_counts=True)
-    seasonal[order] = np.repeat(level[order][begin + (count - 1) // 2], count)
-    runs = [_repeats(p, seg, np.isfinite(p)) for p in pos]
-    longest = np.maximum.reduce([np.minimum(place, length) for place, length in runs]).astype(float)
-    mat = np.stack([np.log1p(level), np.log1p(diff), np.log1p(np.abs(level - seasonal)), longest], axis=1)
-    return mat, usual, runs
-
-
-def _returns(t: np.ndarray, pos: list, seg: np.ndarray, usual: np.ndarray, far: float, close: float, within: int, skip: np.ndarray, candidate: np.ndarray) -> np.ndarray:
-    """Readings far off the track that comes back within ``within`` readings.
-
-    An excursion of m readings begins after a good reading a and ends before b, the next good one: all of it lies
-    farther than ``far`` usual steps from the straight line between a and b, and b is no farther from a than
-    ``close`` usual steps, both for the time passed.
+    place = np.zeros(n, dtype=np.int64)
+    anchor = np.arange(n)
+    close = np.zeros(n, dtype=bool)
+    close[1:] = (seg[1:] == seg[:-1]) & (np.abs(v[1:] - v[:-1]) <= 2 * near[1:])
+    # only stretches in which each reading is near the one before can hold a run: usually a few
+    for at in np.flatnonzero(close).tolist():
+        head = anchor[at - 1]
+        if abs(v[at] - v[head]) <= near[at]:
+            anchor[at], place[at] = head, at - head
+    length = np.bincount(anchor, minlength=n)[anchor]
+    return place, length
+
+
+def _excursions(t: np.ndarray, pos: list[np.ndarray], seg: np.ndarray, scale: np.ndarray, skip: np.ndarray, close: float, within: int) -> np.ndarray:
+    """How far off the line between the readings around it, in usual steps, a reading lies if the source comes back.
+
+    An excursion of at most ``within`` readings between two readings a and b counts if b is no farther from a than
+    ``close`` usual steps for the time passed; it is as far off as its nearest reading, and of all excursions that
+    hold a reading the farthest counts. Readings marked ``skip`` aren't looked at.
     """
     use = np.flatnonzero(~skip)
-    tt, ss, pp = t[use].astype(float), seg[use], [p[use] for p in pos]
-    scale = np.where(np.isfinite(usual), usual, np.nan)[ss]
-    found = np.zeros(len(use), dtype=bool)
+    tt, ss, pp, sc = t[use].astype(float), seg[use], [p[use] for p in pos], scale[use]
+    far = np.zeros(len(use))
     n = len(use)
     for m in range(1, within + 1):
-        span = m + 1
-        if n <= span:
+        if n <= m + 1:
             break
-        a, b = np.arange(n - span), np.arange(span, n)
-        ok = (ss[a] == ss[b]) & ~found[a] & ~found[b]
-        gap = np.sqrt(np.maximum(tt[b] - tt[a], 0))
-        ok &= np.sqrt(sum((p[b] - p[a]) ** 2 for p in pp)) <= close * scale[a] * gap
+        a, b = np.arange(n - m - 1), np.arange(m + 1, n)
+        passed = np.sqrt(np.maximum(tt[b] - tt[a], 1))
+        back = (ss[a] == ss[b]) & (np.sqrt(sum((p[b] - p[a]) ** 2 for p in pp)) <= close * sc[a] * passed)
+        a, b = a[back], b[back]
+        nearest = np.full(len(a), np.inf)
         for k in range(1, m + 1):
             i = a + k
             f = (tt[i] - tt[a]) / np.maximum(tt[b] - tt[a], 1)
             off = np.sqrt(sum((p[i] - (p[a] + (p[b] - p[a]) * f)) ** 2 for p in pp))
-            ok &= (off > far * scale[a] * np.sqrt(np.maximum(np.minimum(tt[i] - tt[a], tt[b] - tt[i]), 0))) & candidate[use[i]] & ~found[i]
+            nearest = np.minimum(nearest, off / (sc[a] * np.sqrt(np.maximum(np.minimum(tt[i] - tt[a], tt[b] - tt[i]), 1))))
         for k in range(1, m + 1):
-            found[a[ok] + k] = True
-    out = np.zeros(len(t), dtype=bool)
-    out[use[found]] = True
+            far[a + k] = np.maximum(far[a + k], nearest)
+    out = np.zeros(len(t))
+    out[use] = far
     return out
 
 
-def _judge(keys: list[str], values: list[str], opts: dict, names: list[str]):
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        rest, held = [], 0
-        for b in batches:
-            rest.append(b)
-            held += b.num_rows
-            if held >= CHUNK:
-                t = pa.Table.from_batches(rest).combine_chunks()
-                h = t["seg"].to_numpy()
-                heads = np.flatnonzero(h[1:] != h[:-1]) + 1
-                if len(heads):
-                    yield t.slice(0, int(heads[-1]))
-                    t = t.slice(int(heads[-1]))
-                rest, held = t.to_batches(), t.num_rows
-        if held:
-            yield pa.Table.from_batches(rest).combine_chunks()
+class Readings:
+    """Readings sorted by source and time with all that the forest and the checks look at.
+
+    ``source`` numbers the sources, ``usual`` holds their usual steps; a source's readings more than ``gap`` time steps
+    apart aren't compared.
+    """
+
+    def __init__(self, t: np.ndarray, pos: list[np.ndarray], source: np.ndarray, usual: np.ndarray, outside: np.ndarray, opts: dict):
+        n = len(t)
+        seg = contiguous(t, source, opts["gap"])
+        self.moving = np.isfinite(usual)[source]
+        scale = np.where(self.moving, usual[source], 1.0)
+        runs = [_repeats(p, seg, opts["tolerance"] * scale) for p in pos]
+        repeats = [np.where(place > 0, length - 1, 0) for place, length in runs]
+        self.held = np.zeros(n, dtype=bool)
+        for place, length in runs:
+            self.held |= (place > 0) & (length > 2)
+        self.far = np.where(self.moving, _excursions(t, pos, seg, scale, self.held | outside, opts["close"], opts["within"]), 0.0)
+        around = []
+        for p in pos:
+            near = np.stack([_shift(p, seg, k) for k in (-3, -2, -1, 1, 2, 3)])
+            near.sort(axis=0)
+            have = np.isfinite(near).sum(axis=0)
+            mid = np.where(have > 0, near[np.maximum((have - 1) // 2, 0), np.arange(n)], p)
+            around.append(p - mid)
+        level = np.sqrt(sum(a**2 for a in around)) / scale
+        # usual level at the same phase: the lower median of the six readings around, each taken at its own phase
+        season, phase = opts["season"], np.mod(t, opts["season"])
+        rank = np.lexsort((t, phase, seg))
+        ordered, group = level[rank], (seg * season + phase)[rank]
+        near = np.stack([_shift(ordered, group, k) for k in (-2, -1, 1, 2)])
+        near.sort(axis=0)
+        have = np.isfinite(near).sum(axis=0)
+        seasonal = np.zeros(n)
+        seasonal[rank] = np.where(have > 0, near[np.maximum((have - 1) // 2, 0), np.arange(n)], 0.0)
+        reach = opts["reach"]
+        self.mat = np.stack([
+            np.minimum(level, reach) / reach,
+            np.minimum(self.far, reach) / reach,
+            np.minimum(np.abs(level - seasonal), reach) / reach,
+            np.minimum(sum(repeats), opts["longest"]) / opts["longest"],
+        ])
+        # the forest is fitted on ordinary readings: repeats, physically impossible ones and clear excursions stay out
+        self.fit = (sum(repeats) == 0) & ~outside & (self.far <= opts["far"])
+
+
+def contiguous(t: np.ndarray, source: np.ndarray, gap: int) -> np.ndarray:
+    """Numbers of the stretches of a source without a pause of more than ``gap`` time steps."""
+    if not len(t):
+        return np.zeros(0, dtype=np.int64)
+    new = np.zeros(len(t), dtype=np.int64)
+    new[1:] = (source[1:] != source[:-1]) | (t[1:] - t[:-1] > gap)
+    return np.cumsum(new)
+
+
+def _heads(tab: pa.Table, names: list[str]) -> np.ndarray:
+    """First rows of the stretches of equal values in the named columns, none of which holds NULL."""
+    n = tab.num_rows
+    new = np.ones(n, dtype=bool)
+    if n > 1:
+        new[1:] = False
+        for c in names:
+            a = tab[c].combine_chunks()
+            new[1:] |= pc.not_equal(a.slice(1), a.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole segments (runs of one ``seg``), about CHUNK rows each."""
+    rest, held = [], 0
+    for b in batches:
+        rest.append(b)
+        held += b.num_rows
+        if held >= CHUNK:
+            t = pa.Table.from_batches(rest).combine_chunks()
+            h = t["seg"].to_numpy()
+            heads = np.flatnonzero(h[1:] != h[:-1]) + 1
+            if len(heads):
+                yield t.slice(0, int(heads[-1]))
+                t = t.slice(int(heads[-1]))
+            rest, held = t.to_batches(), t.num_rows
+    if held:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
+def _histogram(t: np.ndarray, pos: list[np.ndarray], source: np.ndarray, own: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source, bin, count) of the steps that end in own readings."""
+    step = steps(t, pos, contiguous(t, source, gap))
+    ok = own & (step > 0) & np.isfinite(step)
+    pair = np.stack([source[ok], step_bins(step[ok])])
+    both, count = np.unique(pair, axis=1, return_counts=True)
+    return both[0], both[1], count
+
+
+def _stage(what: str, keys: list[str], values: list[str], opts: dict, names: list[str]):
+    """The Arrow body of one pass over sorted blocks.
+
+    "whole" judges sources that lie in one block. Sources over several blocks take three passes: "steps" counts steps,
+    "leaves" counts fitted readings in the leaves of all trees, "judge" flags; what the passes before found comes as a
+    control row in front of each block.
+    """
+    trees, sample, seed = opts["trees"], opts["sample"], opts["seed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tab in chunks(batches):
-            h = tab["seg"].to_numpy()
-            new = np.r_[True, h[1:] != h[:-1]]
-            start, seg = np.flatnonzero(new), np.cumsum(new) - 1
+        for tab in _chunks(batches):
+            control = None
+            if what in ("leaves", "judge"):
+                is_control = tab["t"].is_null().to_numpy()
+                control, tab = tab.filter(pa.array(is_control)), tab.filter(pa.array(~is_control))
+            start = _heads(tab, ["seg", *keys])
+            source = np.repeat(np.arange(len(start)), np.diff(np.r_[start, tab.num_rows]))
             t, pos = tab["t"].to_numpy(), [tab[v].to_numpy() for v in values]
-            outside = tab["outside"].to_numpy(zero_copy_only=False)
-            feats, usual, runs = features(t, pos, seg, start, opts["season"])
-            score = forest_scores(feats, start, h[start].astype(np.uint64), opts["trees"], opts["sample"])
-            candidate = score >= opts["threshold"]
-            stuck = np.zeros(len(t), dtype=bool)
-            for place, length in runs:
-                stuck |= (place > 0) & (length > opts["repeats"])
-            # a source that hardly ever moves isn't stuck
-            moving = np.isfinite(usual)[seg]
-            stuck &= moving
-            spike = _returns(t, pos, seg, usual, opts["far"], opts["close"], opts["within"], stuck | outside, candidate)
-            own = tab["own"].to_numpy(zero_copy_only=False)
+            outside, own = tab["outside"].to_numpy(zero_copy_only=False), tab["own"].to_numpy(zero_copy_only=False)
+            if what == "steps":
+                of, at, count = _histogram(t, pos, source, own, opts["gap"])
+                cols = [tab[k].combine_chunks().take(pa.array(start[of])) for k in keys]
+                yield from pa.table([*cols, pa.array(at), pa.array(count)], names=names).to_batches()
+                continue
+            if what == "whole":
+                usual = usual_step(*_histogram(t, pos, source, own, opts["gap"]), len(start))
+            else:
+                usual = step_of(control["bin"].combine_chunks().cast(pa.float64()).fill_null(np.nan).to_numpy())
+            r = Readings(t, pos, source, usual, outside, opts)
+            if what == "whole":
+                score = forest_scores(r.mat, source, r.fit, trees, sample, seed)
+            elif what == "leaves":
+                pick, cut = trees_of(r.mat.shape[0], trees, seed)
+                use = r.fit & own
+                mat, of = r.mat[:, use], source[use]
+                for i in range(trees):
+                    cell, count = np.unique((of << DEPTH) + leaves(mat, pick[i], cut[i]), return_counts=True)
+                    cols = [tab[k].combine_chunks().take(pa.array(start[cell >> DEPTH])) for k in keys]
+                    yield from pa.table([*cols, pa.array((i << DEPTH) + (cell & ((1 << DEPTH) - 1))), pa.array(count)], names=names).to_batches()
+                continue
+            else:
+                score = np.zeros(len(t))
+                for s, lo in enumerate(start):
+                    hi = start[s + 1] if s + 1 < len(start) else len(t)
+                    table = np.zeros(trees << DEPTH)
+                    entry = control["held"][s].as_py() or []
+                    if entry:
+                        table[[e["leaf"] for e in entry]] = [e["n"] for e in entry]
+                    table = table.reshape(trees, 1, -1)
+                    score[lo:hi] = _scores(r.mat[:, lo:hi], source[lo:hi] - s, lambda i, leaf: table[i], trees, sample, seed)  # noqa: B023
+            odd = score >= opts["threshold"]
+            spike, stuck = odd & (r.far > opts["far"]), odd & r.held & r.moving
             out = [tab[k].combine_chunks() for k in keys] + [tab["t"].combine_chunks(), pa.array(score), pa.array(spike), pa.array(stuck), pa.array(outside)]
             yield from pa.table(out, names=names).filter(pa.array(own)).to_batches(max_chunksize=65_536)
 
@@ -262,36 +384,47 @@ def flag_readings(
     impossible: Column | None = None,
     *,
     season: int = 7,
-    trees: int = 24,
-    sample: int = 256,
-    threshold: float = 0.45,
-    far: float = 10.0,
+    trees: int = 50,
+    sample: int = 64,
+    threshold: float = 0.7,
+    far: float = 6.0,
     close: float = 5.0,
     within: int = 3,
-    repeats: int = 2,
+    tolerance: float = 0.005,
+    gap: int = 256,
+    reach: float = 24.0,
+    longest: int = 5,
     block: int = BLOCK,
+    seed: int = 1,
 ) -> DataFrame:
     """Score every usable reading of every source and flag the wrong ones.
 
-    An isolation forest for each source (``trees`` trees, each fitted on at most ``sample`` of its readings, all of
-    them scored) works on four features in units of the source's usual step: level (distance from the median of the
-    six neighbours), difference (smaller of the steps before and after), seasonal (level against the median of the
-    same phase of ``season`` time steps), and run length (how long a value has repeated). Readings of score at least
-    ``threshold`` are candidates. Flags:
-
-    - ``spike``: a candidate more than ``far`` usual steps off the line between the good readings around it, where
-      the source comes back (``close``) within ``within`` readings. A move that lasts is no spike.
-    - ``stuck``: a value equal to the one before in a run of more than ``repeats`` repeats, in any value; the first
-      reading of the run is right.
+    An isolation forest for each source works on four features: level (distance from the median of the six readings
+    around, in units of the source's usual step, the median of its steps), difference (distance from the line between
+    the readings before and after an excursion of at most ``within`` readings, 0 if the source doesn't come back to
+    within ``close`` usual steps), seasonal (level against the level at the same phase of ``season`` time steps) and
+    run length (repeats of a value over all coordinates). The features are scaled to 0..1 at ``reach`` usual steps and
+    ``longest`` repeats; ``trees`` trees cut that range at random, the same for all sources, and each source's own
+    ordinary readings (no repeats, nothing impossible, no excursion beyond ``far``) decide where a reading is isolated. ``sample`` is
+    the number of readings that a tree counts as, however long the source is. Flags:
+
+    - ``spike``: score of at least ``threshold``, and the reading lies in an excursion of more than ``far`` usual steps
+      that comes back. A move that lasts is no spike.
+    - ``stuck``: score of at least ``threshold``, and the reading is a later one of a run of three or more that lie
+      within ``tolerance`` usual steps of the run's first, in any value.
     - ``outside``: the physical-limit rule ``impossible`` (a condition on ``df``'s columns) holds.
 
-    Sources are cut into blocks of ``block`` time steps with 512 steps of context on both sides; a block has its own
-    forest. Readings with a NULL or NaN value, NULL key or NULL time get no row. Repeated rows are one; of different
+    Readings of a source more than ``gap`` time steps apart aren't compared. A source of more than ``block`` time
+    steps is spread over tasks; steps and leaf counts of its blocks are added up first, so flags and scores don't depend on
+    ``block``. Readings with a NULL or NaN value, NULL key or NULL time get no row. Repeated rows are one; of different
     rows at one time the smallest counts. A source without any movement, or of one reading, has no spikes and isn't
     stuck. Empty input gives no rows. Returns keys, time, ``score``, ``spike``, ``stuck``, ``outside``.
     """
     keys, values = list(keys), list(values)
     need(df, *keys, time, *values)
+    halo = CONTEXT * gap
+    if block < 1 or gap < 1:
+        raise ValueError("block and gap must be positive")
     ok = present(*values) & F.col(time).isNotNull()
     for k in keys:
         ok = ok & F.col(k).isNotNull()
@@ -300,16 +433,63 @@ def flag_readings(
     src = df.where(ok).select(
         *[F.col(k).alias(a) for k, a in zip(keys, ks)], F.col(time).cast("bigint").alias("t"), F.struct(*[F.col(v).cast("double").alias(a) for v, a in zip(values, vs)], rule.alias("outside")).alias("r")
     )
-    one = src.groupBy(*ks, "t").agg(F.min("r").alias("r")).select(*ks, "t", "r.*")
     blk = lambda c: F.floor(c / F.lit(block)).cast("bigint")
-    home = blk(F.col("t"))
-    spread = one.withColumn("blk", F.explode(F.sequence(blk(F.col("t") - HALO), blk(F.col("t") + HALO)))).withColumns({"own": F.col("blk") == home, "seg": F.xxhash64(*ks, "blk")})
-    rows = spread.repartition(*ks, "blk").sortWithinPartitions("seg", *ks, "blk", "t")
+    one = src.groupBy(*ks, "t").agg(F.min("r").alias("r")).select(*ks, "t", "r.*")
+    opts = {
+        "season": season, "trees": trees, "sample": sample, "threshold": threshold, "far": far, "close": close, "within": within,
+        "tolerance": tolerance, "gap": gap, "reach": reach, "longest": longest, "seed": seed,
+    }
     names = [*keys, time, "score", "spike", "stuck", "outside"]
+    key_fields = [T.StructField(k, df.schema[k].dataType) for k in keys]
     schema = T.StructType(
-        [T.StructField(k, df.schema[k].dataType) for k in keys]
-        + [T.StructField(time, T.LongType()), T.StructField("score", T.DoubleType())]
-        + [T.StructField(c, T.BooleanType()) for c in ("spike", "stuck", "outside")]
+        [*key_fields, T.StructField(time, T.LongType()), T.StructField("score", T.DoubleType())] + [T.StructField(c, T.BooleanType()) for c in ("spike", "stuck", "outside")]
     )
-    opts = {"season": season, "trees": trees, "sample": sample, "threshold": threshold, "far": far, "close": close, "within": within, "repeats": repeats}
-    return rows.mapInArrow(_judge(ks, vs, opts, names), schema)
+    long = src.groupBy(*ks).agg(blk(F.min("t")).alias("b0"), blk(F.max("t")).alias("b1")).where("b0 < b1").select(*ks)
+    seg = F.xxhash64(*ks).alias("seg")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        rows = rows.select("*", F.lit(True).alias("own"), seg)
+        return rows.repartition(*ks).sortWithinPartitions("seg", *ks, "t").mapInArrow(_stage("whole", ks, vs, opts, names), schema)
+
+    if long.isEmpty():
+        return whole(one)
+    long = small_side(long)
+    home = blk(F.col("t"))
+    spread = one.join(long, ks, "left_semi").withColumn("blk", F.explode(F.sequence(blk(F.col("t") - halo), blk(F.col("t") + halo)))).withColumn("own", F.col("blk") == home)
+    blocks = spread.where("own").select(*ks, "blk").distinct()
+
+    def over_blocks(what: str, control: DataFrame | None, names: list[str], schema: T.StructType) -> DataFrame:
+        rows = spread
+        if control is not None:
+            rows = spread.join(blocks, [*ks, "blk"], "left_semi").unionByName(blocks.join(control, ks, "left"), allowMissingColumns=True)
+        # by seg, as both sides of the union may be partitioned by keys and block, each into a number of its own
+        rows = rows.withColumn("seg", F.xxhash64(*ks, "blk"))
+        return rows.repartition("seg").sortWithinPartitions("seg", *ks, "blk", F.col("t").asc_nulls_first()).mapInArrow(_stage(what, ks, vs, opts, names), schema)
+
+    count = T.StructField("n", T.LongType())
+    found = over_blocks("steps", None, [*ks, "bin", "n"], T.StructType([*[T.StructField(k, f.dataType) for k, f in zip(ks, key_fields)], T.StructField("bin", T.LongType()), count]))
+    hist = found.groupBy(*ks, "bin").agg(F.sum("n").alias("n")).groupBy(*ks).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("hist"))
+    every = blocks.select(*ks).distinct()
+    usual = every.join(hist, ks, "left").select(*ks, _usual_bin("hist").alias("bin"))
+    leaf_schema = T.StructType([*[T.StructField(k, f.dataType) for k, f in zip(ks, key_fields)], T.StructField("leaf", T.LongType()), count])
+    held = over_blocks("leaves", usual, [*ks, "leaf", "n"], leaf_schema).groupBy(*ks, "leaf").agg(F.sum("n").alias("n")).groupBy(*ks).agg(F.collect_list(F.struct("leaf", "n")).alias("held"))
+    judged = over_blocks("judge", usual.join(held, ks, "left"), names, schema)
+    return whole(one.join(long, ks, "left_anti")).unionByName(judged)
+
+
+def _usual_bin(hist: str) -> Column:
+    """The bin of the usual step in a sorted histogram column, chosen as ``usual_step`` does."""
+
+    def median(h: Column) -> Column:
+        total = F.aggregate(h, F.lit(0).cast("bigint"), lambda a, e: a + e["n"])
+        rank = F.floor((total - 1) / 2) + 1
+        none = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("bigint").alias("bin"))
+
+        def step(a: Column, e: Column) -> Column:
+            upto = a["upto"] + e["n"]
+            return F.struct(upto.alias("upto"), F.when(a["bin"].isNull() & (upto >= rank), e["bin"]).otherwise(a["bin"]).alias("bin"))
+
+        return F.aggregate(h, none, step)["bin"]
+
+    first = median(F.col(hist))
+    return median(F.filter(F.col(hist), lambda e: e["bin"] >= first + F.lit(float(np.log2(IDLE) * BINS))))

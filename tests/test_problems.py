@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from motespark.operators.near import in_ring, near_pairs, near_pairs_geo, points_in_regions
 from motespark.operators.regular_grid import to_regular_grid
 from motespark.operators.rolling import MONOIDS, rolling, two_stack
-from motespark.operators.spikes import flag_readings, forest_scores
+from motespark.operators.spikes import flag_readings, forest_scores, usual_step
 
 NAN = float("nan")
 TRAJ = "video bigint, particle bigint, frame bigint, x double, y double, k0 string, v0 double, t string, slot string, seg bigint, blk bigint"
@@ -181,7 +181,12 @@ def planted():
     c[40:] += (50, 50)  # it stays there
     d[10] = (-5, 20)
     bad.add((4, 10))
-    data = [(1, p, f, float(x), float(y)) for p, t in ((1, a), (2, b), (3, c), (4, d)) for f, (x, y) in enumerate(t)]
+    e = walk(70, 5)  # stuck with jitter, in both coordinates and in one
+    jitter = np.random.default_rng(9).normal(0, 3e-4, (8, 2))
+    e[20:28] = e[20] + jitter
+    e[45:51, 1] = e[45, 1] + jitter[:6, 1]
+    bad |= {(7, f) for f in [*range(21, 28), *range(46, 51)]}
+    data = [(1, p, f, float(x), float(y)) for p, t in ((1, a), (2, b), (3, c), (4, d), (7, e)) for f, (x, y) in enumerate(t)]
     return data, bad
 
 
@@ -206,12 +211,50 @@ def test_spikes_same_for_any_partitioning(spark, rows):
     assert one == two
 
 
+def test_spikes_same_for_any_block(spark, rows):
+    data, bad = planted()
+    far = [(1, 9, 1000 * k + f, float(x), float(y)) for k, w in enumerate((walk(40, 11), walk(40, 12))) for f, (x, y) in enumerate(w)]
+    far[55] = (*far[55][:3], far[55][3] + 60, far[55][4])
+    bad = bad | {(9, 1015)}
+    t = traj(spark, data + far + far[:3])
+    rule = F.col("x") < 0
+    one = rows(flag_readings(t, ["video", "particle"], "frame", ["x", "y"], rule))
+    assert {r[1:3] for r in one if any(r[4:])} == bad
+    for block in (7, 32, 300):
+        assert rows(flag_readings(t, ["video", "particle"], "frame", ["x", "y"], rule, block=block)) == one
+
+
+def test_score_decides(spark):
+    """Excursions between the lax limit and what the source's own movement makes unusual are left to the forest."""
+    w = walk(300, 21)
+    w[150] += (3.5, 0)
+    w[220] += (14, 0)
+    data = [(1, 1, f, float(x), float(y)) for f, (x, y) in enumerate(w)]
+    got = {r.frame: r for r in flag_readings(traj(spark, data), ["video", "particle"], "frame", ["x", "y"], far=3.0).collect()}
+    assert got[220].spike and not got[150].spike and got[150].score < 0.7 <= got[220].score
+
+
 def test_forest_finds_outliers():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(1000, 3))
-    x[7] = 9
-    x[700] = -9
-    start = np.array([0, 500])
-    score = forest_scores(x, start, np.array([1, 2], dtype=np.uint64), trees=50, sample=64)
+    x = np.abs(rng.normal(0, 0.05, size=(3, 1000)))
+    x[:, 7] = 0.9
+    x[:, 700] = 0.8
+    seg = np.repeat([0, 1], 500)
+    score = forest_scores(x, seg, np.ones(1000, dtype=bool))
     assert score[:500].argmax() == 7 and score[500:].argmax() == 200
-    assert score.mean() < 0.55 < score[7]
+    assert score.mean() < 0.55 < 0.75 < min(score[7], score[700])
+    # what isn't fitted can't hide others like it
+    x[:, 10:60] = 0.9
+    fit = np.ones(1000, dtype=bool)
+    fit[10:60] = False
+    assert forest_scores(x, seg, fit)[10:60].min() > 0.75 > forest_scores(x, seg, np.ones(1000, dtype=bool))[10:60].max()
+    assert len(forest_scores(x[:, :0], seg[:0], fit[:0])) == 0
+
+
+@given(st.lists(st.integers(-40, 40), min_size=1, max_size=40), st.integers(1, 5))
+@settings(max_examples=40, deadline=None)
+def test_usual_step_adds_up(bins, parts):
+    b = np.array(bins)
+    whole = usual_step(np.zeros(len(b), dtype=int), b, np.ones(len(b), dtype=int), 1)
+    cut = np.concatenate([np.stack(np.unique(p, return_counts=True)) for p in np.array_split(b, parts) if len(p)], axis=1)
+    assert usual_step(np.zeros(cut.shape[1], dtype=int), cut[0], cut[1], 1) == whole

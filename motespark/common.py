@@ -73,6 +73,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Remove the files of results of ``cut`` that nothing reads any more."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        if not plan.getClass().getSimpleName().startswith("LogicalRDD"):
+            continue
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name starting with ``base`` that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -1,7 +1,8 @@
 """Linking features into tracks.
 
-``link`` needs no state beyond one frame: all pairs of consecutive frames are solved at once. ``link_stateful`` folds
-over the frames of a movie where memory, a predictor or a custom metric asks for it.
+Without memory no state goes beyond one frame: ``link`` solves all pairs of consecutive frames at once. With memory it
+folds over time within sets of features that come near each other. ``link_stateful`` folds over the frames of a
+movie, which a predictor or a custom metric asks for.
 """
 
 from __future__ import annotations
@@ -10,15 +11,22 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motespark.common import cut, need
-from motespark.operators.assignment import MAX_NEIGHBORS, MAX_SUBNET, SLACK, SubnetOversizeError, assign, solve
-from motespark.operators.components import connected_components
+from motespark.common import cut, free_name, need, present, release
+from motespark.operators.assignment import MAX_NEIGHBORS, MAX_SUBNET, MAX_SUBNET_ADAPTIVE, SLACK, _assign, assign, check_strategy
+from motespark.operators.components import connected_components, roots
 from motespark.operators.static import _points, pairs_within
 
+#: a zone, whose links are worked on in one task, is this many search ranges wide and so many frames long
+TILE = 64.0
+SPELL = 64
+#: rows that a task works on at once
+CHUNK = 400_000
+
 
 def _scaled(df: DataFrame, groups: Sequence[str], ident: str, pos: Sequence[str], reach, t: str) -> tuple[DataFrame, float]:
     pts = _points(df, groups, ident, pos, {"t": F.col(t).cast("bigint")}).where("t is not null")
@@ -30,98 +38,235 @@ def _scaled(df: DataFrame, groups: Sequence[str], ident: str, pos: Sequence[str]
     return pts, float(reach)
 
 
-def link_candidates(df: DataFrame, groups: Sequence[str], ident: str, search_range, pos: Sequence[str] = ("y", "x"), t: str = "frame", most: int = MAX_NEIGHBORS) -> DataFrame:
-    """Candidate links between consecutive frames: groups, ``src``, ``dst``, ``dist``; of each destination its ``most`` nearest sources.
+def _edges(df: DataFrame, groups: Sequence[str], ident: str, search_range, pos: Sequence[str], t: str, memory: int = 0) -> tuple[DataFrame, DataFrame, float]:
+    """(points, pairs, range): pairs of points of frames at most ``memory`` + 1 apart, with the source's zone.
 
-    Points are joined on (groups, frame pair, grid cell), so dense frames spread over many tasks.
+    Points are joined on (groups, frame, grid cell), so dense frames spread over many tasks.
     """
     pts, reach = _scaled(df, groups, ident, pos, search_range, t)
-    # a point is a destination at its own frame's pair and a source at the next one's
-    side = F.explode(F.array(F.struct(F.col("t").alias("pair"), F.lit(1).alias("dst")), F.struct((F.col("t") + 1).alias("pair"), F.lit(0).alias("dst"))))
-    both = pts.withColumn("s", side).select(*groups, "id", *[f"p{i}" for i in range(len(pos))], F.col("s.pair").alias("pair"), F.col("s.dst").alias("dst"))
-    near = pairs_within(both, [*groups, "pair"], len(pos), reach + SLACK, ordered=True, keep=["dst"], inclusive=False).where("a_dst = 0 and b_dst = 1")
-    e = near.select(*groups, "pair", F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "dist")
-    w = W.partitionBy("dst").orderBy("dist", "src")
-    return e.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
-
-
-def _links(edges: DataFrame, strategy: str, reach: float, groups: Sequence[str], max_size: int) -> DataFrame:
-    """(src, dst) of the chosen links."""
-    degree = lambda c: F.count(F.lit(1)).over(W.partitionBy(c))
-    e = cut(edges.withColumn("n_d", degree("dst")).withColumn("n_s", degree("src")))
-    sure = e.where("n_s = 1 and n_d = 1").select("src", "dst")
-    if strategy == "drop":
-        return sure
-    hard = e.where("n_s > 1 or n_d > 1")
-    # a point takes part twice, as a source and as a destination
-    node = lambda c, k: F.struct(F.col(c).alias("id"), F.lit(k).alias("k"))
-    comp = connected_components(hard.select(node("src", 0).alias("id_a"), node("dst", 1).alias("id_b")))
-    label = comp.where("id.k = 0").select(F.col("id.id").alias("src"), F.col("component").alias("subnet"))
-    rows = hard.select("src", "dst", "dist").join(label, "src")
-
-    def best(src: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        us, si = np.unique(src, return_inverse=True)
-        ut, ti = np.unique(dst, return_inverse=True)
-        if len(us) > max_size:
-            raise SubnetOversizeError(f"{len(us)} sources in one subnet; the limit is {max_size}")
-        if len(us) == 1 or len(ut) == 1:  # the nearest pair wins
-            k = int(dist.argmin())
-            return src[k : k + 1], dst[k : k + 1]
-        got = solve(len(us), len(ut), si, ti, dist, reach)
-        return us[got >= 0], ut[got[got >= 0]]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Many small subnets a batch; the last one of a batch may go on in the next."""
-        rest: pd.DataFrame | None = None
-        for pdf in parts:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            key = pdf["subnet"].to_numpy()
-            heads = np.flatnonzero(key[1:] != key[:-1]) + 1
-            rest = pdf.iloc[heads[-1] if len(heads) else 0 :]
+    # a point is a destination at its own frame and a source at the next ones
+    later = [F.struct((F.col("t") + k).alias("pair"), F.lit(k).alias("ago")) for k in range(memory + 2)]
+    both = pts.withColumn("s", F.explode(F.array(*later))).select(*groups, "id", *[f"p{i}" for i in range(len(pos))], F.col("s.pair").alias("pair"), F.col("s.ago").alias("ago"))
+    near = pairs_within(both, [*groups, "pair"], len(pos), reach + SLACK, ordered=True, keep=["ago"], inclusive=False).where("a_ago > 0 and b_ago = 0")
+    zone = F.xxhash64(*groups, F.floor(F.col("pair") / SPELL), *[F.floor(F.col(f"a_p{i}") / F.lit(TILE * reach)) for i in range(len(pos))])
+    return pts, near.select(*groups, "pair", F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "dist", zone.alias("zone")), reach
+
+
+def _nearest_sources(edges: DataFrame, most: int | None) -> DataFrame:
+    """The ``most`` nearest sources of each destination (all if None), with their number ``n_d``."""
+    every = W.partitionBy("dst")
+    e = edges.withColumn("n_d", F.count(F.lit(1)).over(every))
+    if most is None:
+        return e
+    e = e.withColumn("_k", F.row_number().over(every.orderBy("dist", "src"))).where(F.col("_k") <= most).drop("_k")
+    return e.withColumn("n_d", F.least("n_d", F.lit(most)))
+
+
+def link_candidates(df: DataFrame, groups: Sequence[str], ident: str, search_range, pos: Sequence[str] = ("y", "x"), t: str = "frame", most: int | None = MAX_NEIGHBORS) -> DataFrame:
+    """Candidate links between consecutive frames: groups, ``src``, ``dst``, ``dist``; of each destination its ``most`` nearest sources (None: all)."""
+    return _nearest_sources(_edges(df, groups, ident, search_range, pos, t)[1], most).drop("zone", "n_d")
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of about CHUNK rows, cut where the sorted ``key`` changes."""
+    rest, held = [], 0
+    for b in batches:
+        rest.append(b)
+        held += b.num_rows
+        if held >= CHUNK:
+            tab = pa.Table.from_batches(rest).combine_chunks()
+            k = tab[key].to_numpy()
+            heads = np.flatnonzero(k[1:] != k[:-1]) + 1
             if len(heads):
-                yield whole(pdf.iloc[: heads[-1]], heads[:-1])
-        if rest is not None and len(rest):
-            yield whole(rest, np.zeros(0, dtype=int))
+                yield tab.slice(0, int(heads[-1]))
+                tab = tab.slice(int(heads[-1]))
+            rest, held = tab.to_batches(), tab.num_rows
+    if held:
+        yield pa.Table.from_batches(rest).combine_chunks()
 
-    def whole(pdf: pd.DataFrame, heads: np.ndarray) -> pd.DataFrame:
-        cols = [np.split(pdf[c].to_numpy(), heads) for c in ("src", "dst", "dist")]
-        found = [best(*x) for x in zip(*cols)]
-        return pd.DataFrame({"src": np.concatenate([f[0] for f in found]), "dst": np.concatenate([f[1] for f in found])})
 
-    kind = T.StructType([T.StructField("src", edges.schema["src"].dataType), T.StructField("dst", edges.schema["dst"].dataType)])
-    numbered = rows.select(F.col("subnet.id").alias("subnet"), "src", "dst", "dist")
-    return sure.unionByName(numbered.repartition("subnet").sortWithinPartitions("subnet").mapInPandas(run, kind))
+def _coded(*cols: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """(sorted distinct values, their numbers in each column)."""
+    parts = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
+    values, code = np.unique(np.concatenate([p.to_numpy(zero_copy_only=False) for p in parts]), return_inverse=True)
+    return pa.array(values, parts[0].type), np.split(code, np.cumsum([len(p) for p in parts])[:-1])
 
 
-def chains(points: DataFrame, links: DataFrame) -> DataFrame:
-    """``id`` and ``head``, the first point of its chain, by pointer jumping: the pointers' reach grows fourfold a round."""
-    ptr = cut(points.select("id").join(links.select(F.col("dst").alias("id"), F.col("src").alias("to")), "id", "left").select("id", F.coalesce("to", "id").alias("to")))
-    while True:
-        step = ptr.select(F.col("id").alias("at"), F.col("to").alias("next"))
-        one = ptr.join(step, ptr["to"] == step["at"]).select("id", "to", "next")
-        two = one.join(step.withColumnRenamed("next", "far").withColumnRenamed("at", "mid"), F.col("next") == F.col("mid"))
-        three = two.select("id", "to", "far").join(step, F.col("far") == F.col("at"))
-        nxt = cut(three.select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
-        ptr = nxt.select("id", "to")
-        if nxt.where("moved").limit(1).isEmpty():
-            return ptr.select("id", F.col("to").alias("head"))
+def _links(edges: DataFrame, reach: float, strategy, max_size: int, stop: float | None, step: float) -> DataFrame:
+    """(src, dst, zone) of the chosen links among edges with ``n_d``.
 
+    Each task solves the subnets of its zones. A subnet goes on if one of its destinations has candidates in other zones;
+    those few are put together by components of their sources and solved in a second pass.
+    """
+    kind = edges.schema["src"].dataType
+    fields = [T.StructField("src", kind), T.StructField("dst", kind), T.StructField("dist", T.DoubleType()), T.StructField("zone", T.LongType()), T.StructField("low", kind)]
+
+    def best(s: np.ndarray, t: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sources, destinations) of the links among numbered candidates, in an order that rows don't decide."""
+        by = np.lexsort((s, v, t))
+        n_src, n_dst = int(s.max(initial=-1)) + 1, int(t.max(initial=-1)) + 1
+        out = np.full(n_dst, -1)
+        _assign(s[by], t[by], v[by], n_src, n_dst, reach, strategy, stop, step, max_size, out)
+        return out[out >= 0], np.flatnonzero(out >= 0)
+
+    def zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tab in _by_key(batches, "zone"):
+            # a destination takes part once for each zone that it is looked at from
+            (src, (s,)), (dst, (t,)) = _coded(tab["src"]), _coded(tab["dst"])
+            v, n_d = tab["dist"].to_numpy(), tab["n_d"].to_numpy()
+            here = np.bincount(t, minlength=len(dst))[t]
+            comp = roots(s, len(src) + t, len(src) + len(dst))[s]
+            if strategy == "drop":
+                open_ = np.zeros(len(s), dtype=bool)
+                alone = (np.bincount(s)[s] == 1) & (n_d == 1)
+                ls, lt = s[alone], t[alone]
+            else:
+                open_ = np.bincount(comp, weights=here != n_d, minlength=len(src))[comp] > 0
+                ls, lt = best(s[~open_], t[~open_], v[~open_])
+            zone = np.zeros(len(src), dtype=np.int64)
+            zone[s] = tab["zone"].to_numpy()
+            left = np.flatnonzero(open_)
+            a, b = np.concatenate([ls, s[left]]), np.concatenate([lt, t[left]])
+            n = len(ls)
+            low = pa.array(comp[left]) if len(left) else pa.array([], pa.int64())
+            cols = [src.take(pa.array(a)), dst.take(pa.array(b)), pa.array(np.concatenate([np.zeros(n), v[left]])), pa.array(zone[a]), pa.concat_arrays([pa.nulls(n, src.type), src.take(low)])]
+            yield from pa.table(cols, names=[f.name for f in fields]).to_batches(max_chunksize=65_536)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tab in _by_key(batches, "subnet"):
+            (src, (s,)), (dst, (t,)) = _coded(tab["src"]), _coded(tab["dst"])
+            zone = np.zeros(len(src), dtype=np.int64)
+            zone[s] = tab["zone"].to_numpy()
+            a, b = best(s, t, tab["dist"].to_numpy())
+            yield from pa.table([src.take(pa.array(a)), dst.take(pa.array(b)), pa.array(zone[a])], names=["src", "dst", "zone"]).to_batches()
+
+    rows = edges.select("src", "dst", "dist", "n_d", "zone").repartition("zone").sortWithinPartitions("zone")
+    first = cut(rows.mapInArrow(zones, T.StructType(fields)))
+    done, left = first.where("low is null").select("src", "dst", "zone"), first.where("low is not null")
+    if strategy == "drop" or left.isEmpty():
+        return done
+    star = left.withColumn("least", F.min("low").over(W.partitionBy("dst"))).where("low <> least").select(F.col("low").alias("id_a"), F.col("least").alias("id_b"))
+    comp = connected_components(star).select(F.col("id").alias("low"), "component")
+    rows = left.join(comp, "low", "left").select("src", "dst", "dist", "zone", F.xxhash64(F.coalesce("component", "low")).alias("subnet"))
+    second = rows.repartition("subnet").sortWithinPartitions("subnet").mapInArrow(joined, T.StructType([fields[0], fields[1], fields[3]]))
+    return done.unionByName(second)
+
+
+def chains(links: DataFrame) -> DataFrame:
+    """``id`` and ``head``, the first point of its chain, of every point that a link (src, dst, zone) leads to.
+
+    Each task follows the links of its zones; only chains that cross zones go on, by pointer jumping on their crossings.
+    """
+    kind = links.schema["src"].dataType
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tab in _by_key(batches, "zone"):
+            ids, (s, t) = _coded(tab["src"], tab["dst"])
+            to = np.arange(len(ids))
+            to[t] = s
+            while True:
+                up = to[to]
+                if (up == to).all():
+                    break
+                to = up
+            yield from pa.table([ids.take(pa.array(t)), ids.take(pa.array(to[t]))], names=["id", "head"]).to_batches(max_chunksize=65_536)
+
+    rows = links.repartition("zone").sortWithinPartitions("zone")
+    ptr = cut(rows.mapInArrow(follow, T.StructType([T.StructField("id", kind), T.StructField("head", kind)])))
+    over = cut(ptr.select(F.col("head").alias("id")).distinct().join(ptr, "id"))
+    if over.isEmpty():
+        return ptr
+    while True:
+        ahead = over.select(F.col("id").alias("head"), F.col("head").alias("next"))
+        nxt = cut(over.join(ahead, "head", "left").select("id", F.coalesce("next", "head").alias("head"), F.col("next").isNotNull().alias("moved")))
+        release(over)
+        over = nxt.select("id", "head")
+        if nxt.where("moved").isEmpty():
+            break
+    far = over.select(F.col("id").alias("head"), F.col("head").alias("far"))
+    return ptr.join(far, "head", "left").select("id", F.coalesce("far", "head").alias("head"))
 
-def link(df: DataFrame, groups: Sequence[str], ident: str, search_range, pos: Sequence[str] = ("y", "x"), t: str = "frame", strategy: str = "exact", max_size: int = MAX_SUBNET) -> DataFrame:
-    """``df`` with ``particle``: the ident of the first feature of its track. Memory 0, no predictor.
 
-    Features of consecutive frames closer than ``search_range`` (one number, or one for each axis) are candidates. A
-    pair without other candidates is linked; contested subnets are solved exactly (least sum of squared distances,
-    range² for each unlinked source) or, with ``strategy="drop"``, left unlinked. More than ``max_size`` sources in a
-    subnet raise SubnetOversizeError. A missing frame ends all tracks.
+def _remembered(pts: DataFrame, pairs: DataFrame, ident: str, pos: Sequence[str], make: Callable[[], Linker]) -> DataFrame:
+    """``id`` and ``head`` of points linked with memory: a fold over time within each set of points that come near each other.
 
-    ``ident`` must be unique and not NULL. Features with a missing position or frame get a NULL particle.
+    Points that are never within range, ``memory`` + 1 frames apart at most, can't compete, so components of such
+    pairs are linked apart from each other.
+    """
+    comp = connected_components(pairs.select("zone", F.col("src").alias("id_a"), F.col("dst").alias("id_b")), near=["zone"])
+    cols = [f"p{i}" for i in range(len(pos))]
+    rows = pts.join(comp, "id").select("id", "t", *cols, F.xxhash64("component").alias("subnet"), "component")
+    kind = pts.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tab in _by_key(batches, "subnet"):
+            ids = tab["id"].combine_chunks()
+            comp = _coded(tab["component"])[1][0]
+            t, at = tab["t"].to_numpy(), np.stack([tab[c].to_numpy() for c in cols], axis=1)
+            head = np.empty(len(t), dtype=np.int64)
+            for part in np.split(np.arange(len(t)), np.flatnonzero(comp[1:] != comp[:-1]) + 1):
+                number = fold(at[part], t[part], make)
+                first = np.full(number.max() + 1, len(t))
+                np.minimum.at(first, number, part)
+                head[part] = first[number]
+            yield from pa.table([ids, ids.take(pa.array(head))], names=["id", "head"]).to_batches(max_chunksize=65_536)
+
+    order = rows.repartition("subnet").sortWithinPartitions("subnet", "component", "t", "id")
+    return order.mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("head", kind)]))
+
+
+def link(
+    df: DataFrame,
+    groups: Sequence[str],
+    ident: str,
+    search_range,
+    pos: Sequence[str] = ("y", "x"),
+    t: str = "frame",
+    strategy="exact",
+    max_size: int | None = None,
+    *,
+    memory: int = 0,
+    adaptive_stop: float | None = None,
+    adaptive_step: float = 0.95,
+    neighbors: int | None = MAX_NEIGHBORS,
+    predictor: Callable | None = None,
+    dist_func: Callable | None = None,
+    to_eucl: Callable | None = None,
+) -> DataFrame:
+    """``df`` with ``particle``: the ident of the first feature of its track.
+
+    Features of consecutive frames closer than ``search_range`` (one number, or one for each axis) are candidates, of
+    each destination its ``neighbors`` nearest sources (None: all). A pair without other candidates is linked; contested subnets
+    are solved exactly (least sum of squared distances, range² for each unlinked source), left unlinked
+    (``strategy="drop"``) or given to a function (see ``assign``). More than ``max_size`` sources in a subnet (30, or 15
+    with ``adaptive_stop``) raise SubnetOversizeError, or with ``adaptive_stop`` are solved at ranges shorter by
+    ``adaptive_step``. A particle lost for up to ``memory`` frames is looked for where it was last.
+
+    Without memory, subnets of one pair of frames are solved in tasks of one region each. With memory, sets of features
+    that come near each other are folded over time, each in one task. A ``predictor`` (a function that makes one), a
+    metric ``dist_func`` or a map ``to_eucl`` needs whole frames: the movie is folded in one task.
+
+    ``ident`` must be unique and not NULL. Features with a missing position or frame get a NULL particle; those with a
+    NULL group are tracks of their own. Ties go to the smaller idents. Empty input gives no rows.
     """
     need(df, *groups, ident, *pos, t)
-    pts, reach = _scaled(df, groups, ident, pos, search_range, t)
-    links = _links(link_candidates(df, groups, ident, search_range, pos, t), strategy, reach, groups, max_size)
-    head = chains(pts, cut(links)).select(F.col("id").alias(ident), F.col("head").alias("particle"))
-    return df.join(head, ident, "left")
+    check_strategy(strategy)
+    limit = max_size or (MAX_SUBNET if adaptive_stop is None else MAX_SUBNET_ADAPTIVE)
+    if predictor is not None or dist_func is not None or to_eucl is not None:
+        kw = {"memory": memory, "strategy": strategy, "adaptive_stop": adaptive_stop, "adaptive_step": adaptive_step, "dist_func": dist_func, "to_eucl": to_eucl, "max_size": limit, "most": neighbors}
+        return link_stateful(df, groups, search_range, pos, t, predictor=predictor, ident=ident, **kw)
+    pts, pairs, reach = _edges(df, groups, ident, search_range, pos, t, memory)
+    if memory:
+        opts = {"memory": memory, "strategy": strategy, "adaptive_stop": adaptive_stop, "adaptive_step": adaptive_step, "max_size": limit, "most": neighbors}
+        heads = _remembered(pts, pairs, ident, pos, lambda: Linker(reach, **opts))
+    else:
+        heads = chains(_links(_nearest_sources(pairs, neighbors), reach, strategy, limit, adaptive_stop, adaptive_step))
+    label = free_name(df, "_id")
+    heads = heads.select(F.col("id").alias(label), F.col("head").alias("particle"))
+    usable = present(*pos) & F.col(t).isNotNull()
+    out = df.drop("particle") if "particle" in df.columns else df
+    found = out.join(heads, out[ident] == heads[label], "left")
+    return found.select(*[out[c] for c in out.columns], F.coalesce("particle", F.when(usable, out[ident])).alias("particle"))
 
 
 def renumber(df: DataFrame, groups: Sequence[str], t: str = "frame") -> DataFrame:
@@ -135,13 +280,14 @@ def renumber(df: DataFrame, groups: Sequence[str], t: str = "frame") -> DataFram
 class Linker:
     """Links one frame after another; the state is the last positions of the tracks, ``memory`` frames back at most."""
 
-    def __init__(self, search_range, memory: int = 0, predictor=None, strategy: str = "exact", adaptive_stop=None, adaptive_step: float = 0.95, dist_func: Callable | None = None, to_eucl: Callable | None = None, max_size: int | None = None):
+    def __init__(self, search_range, memory: int = 0, predictor=None, strategy: str = "exact", adaptive_stop=None, adaptive_step: float = 0.95, dist_func: Callable | None = None, to_eucl: Callable | None = None, max_size: int | None = None, most: int | None = MAX_NEIGHBORS):
+        check_strategy(strategy)
         aniso = hasattr(search_range, "__iter__")
         self.scale = np.asarray(search_range, dtype=float) if aniso else 1.0
         self.reach = 1.0 if aniso else float(search_range)
         self.memory, self.predictor, self.to_eucl = memory, predictor, to_eucl
-        self.opts = {"strategy": strategy, "adaptive_stop": adaptive_stop, "adaptive_step": adaptive_step, "dist_func": dist_func, "max_size": max_size}
-        self.ids, self.pos, self.age = np.zeros(0, dtype=np.int64), None, np.zeros(0, dtype=np.int64)
+        self.opts = {"strategy": strategy, "adaptive_stop": adaptive_stop, "adaptive_step": adaptive_step, "dist_func": dist_func, "max_size": max_size, "most": most}
+        self.ids, self.pos, self.age, self.seen = np.zeros(0, dtype=np.int64), None, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.next_id = 0
 
     def _space(self, pos: np.ndarray) -> np.ndarray:
@@ -156,7 +302,7 @@ class Linker:
             self.pos = np.zeros((0, coords.shape[1]))
         src = self.pos
         if self.predictor is not None and len(src):
-            src = self.predictor.predict(t, self.ids, self.pos)
+            src = self.predictor.predict(t, self.ids, self.pos, self.seen)
         of = assign(self._space(src), self._space(coords), self.reach, **self.opts) if len(src) and len(coords) else np.full(len(coords), -1)
         out = np.where(of >= 0, self.ids[of] if len(self.ids) else 0, -1).astype(np.int64)
         born = out < 0
@@ -167,6 +313,7 @@ class Linker:
         lost &= self.age < self.memory
         self.ids = np.concatenate([out, self.ids[lost]])
         self.pos = np.concatenate([coords, self.pos[lost]])
+        self.seen = np.concatenate([np.full(len(out), t, dtype=np.int64), self.seen[lost]])
         self.age = np.concatenate([np.zeros(len(out), dtype=np.int64), self.age[lost] + 1])
         if self.predictor is not None:
             self.predictor.observe(t, out, coords)
@@ -180,12 +327,10 @@ def link_frames(frames: Iterator[tuple[int, np.ndarray]], search_range, **kw) ->
         yield t, linker.step(t, coords)
 
 
-def fold(pdf: pd.DataFrame, pos: list[str], t: str, make: Callable[[], Linker], fill: bool = True) -> np.ndarray:
-    """Particle numbers of one movie's rows; ``fill`` takes missing frames as empty ones."""
-    frames = pdf[t].to_numpy().astype(np.int64)
+def fold(coords: np.ndarray, frames: np.ndarray, make: Callable[[], Linker], fill: bool = True) -> np.ndarray:
+    """Particle numbers of one movie's points; ``fill`` takes missing frames as empty ones."""
     order = np.argsort(frames, kind="stable")
-    out = np.full(len(pdf), -1, dtype=np.int64)
-    coords = pdf[pos].to_numpy(dtype=float)
+    out = np.full(len(frames), -1, dtype=np.int64)
     linker = make()
     last = None
     for rows in np.split(order, np.flatnonzero(np.diff(frames[order])) + 1):
@@ -195,86 +340,102 @@ def fold(pdf: pd.DataFrame, pos: list[str], t: str, make: Callable[[], Linker],
         if fill and last is not None:
             # beyond the memory nothing is left to remember
             for gap in range(last + 1, min(now, last + linker.memory + 2)):
-                linker.step(gap, np.zeros((0, len(pos))))
+                linker.step(gap, np.zeros((0, coords.shape[1])))
         out[rows] = linker.step(now, coords[rows])
         last = now
     return out
 
 
-def link_stateful(df: DataFrame, groups: Sequence[str], search_range, pos: Sequence[str] = ("y", "x"), t: str = "frame", fill: bool = True, predictor: Callable | None = None, **kw) -> DataFrame:
-    """``df`` with ``particle`` (numbered from 0 in each group), linked frame after frame with state.
+def link_stateful(df: DataFrame, groups: Sequence[str], search_range, pos: Sequence[str] = ("y", "x"), t: str = "frame", fill: bool = True, predictor: Callable | None = None, ident: str | None = None, **kw) -> DataFrame:
+    """``df`` with ``particle``, linked frame after frame with state: numbered from 0 in each group, or with ``ident`` the ident of the track's first feature.
 
     Options: ``memory`` (frames a lost particle is kept), ``predictor`` (a function that makes one), ``strategy``,
-    ``adaptive_stop`` and ``adaptive_step``, ``dist_func``, ``to_eucl``. Each movie is a fold over time in one task:
-    the result of a frame depends on all before. Without these options use ``link``, which has no such limit; a movie
-    too long for one task can be cut into patches of frames and joined by ``reconnect``. Rows with a missing position
-    or frame get a NULL particle.
+    ``adaptive_stop`` and ``adaptive_step``, ``dist_func``, ``to_eucl``, ``most``. Each movie is a fold over time in one task:
+    the result of a frame depends on all before. Without a predictor, metric or map use ``link``, which has no such
+    limit; a movie too long for one task can be cut into patches of frames and joined by ``link_partial``. Rows with a
+    missing position or frame get a NULL particle. With ``ident`` ties go to the smaller idents, else rows of
+    a frame are taken by position.
     """
-    need(df, *groups, *pos, t)
+    need(df, *groups, *pos, t, *([ident] if ident else []))
     pos = list(pos)
-    schema = T.StructType([*df.schema.fields, T.StructField("particle", T.LongType())])
+    kept = [f for f in df.schema.fields if f.name != "particle"]
+    schema = T.StructType([*kept, T.StructField("particle", df.schema[ident].dataType if ident else T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([ident] if ident else pos, kind="stable", ignore_index=True)
         ok = pdf[[*pos, t]].notna().all(axis=1).to_numpy()
         out = np.full(len(pdf), -1, dtype=np.int64)
-        out[ok] = fold(pdf[ok], pos, t, lambda: Linker(search_range, predictor=predictor() if predictor else None, **kw), fill)
-        number = pd.array(out, dtype="Int64")
-        number[out < 0] = pd.NA
-        return pdf.assign(particle=number)
+        out[ok] = fold(pdf.loc[ok, pos].to_numpy(dtype=float), pdf.loc[ok, t].to_numpy().astype(np.int64), lambda: Linker(search_range, predictor=predictor() if predictor else None, **kw), fill)
+        if ident:
+            number = pd.Series(pd.NA, index=pdf.index, dtype="object")
+            rows = pdf.loc[ok].assign(_n=out[ok]).sort_values(t, kind="stable")
+            number[ok] = pd.Series(out[ok]).map(rows.groupby("_n")[ident].first()).to_numpy()
+            number = number.astype(pdf[ident].dtype) if ok.all() else number.where(number.notna(), None)
+        else:
+            number = pd.array(out, dtype="Int64")
+            number[out < 0] = pd.NA
+        return pdf.assign(particle=number)[schema.names]
 
     return df.groupBy(*groups).applyInPandas(run, schema)
 
 
-def reconnect(pdf: pd.DataFrame, link_range: tuple[int, int], patched: np.ndarray, t: str = "frame") -> np.ndarray:
-    """Old particle numbers with the frames of ``link_range`` (start, stop) linked anew.
+def reconnect(df: DataFrame, groups: Sequence[str], link_range: tuple[int, int], t: str = "frame", new: str = "particle", old: str = "old") -> DataFrame:
+    """``df`` with ``new``, where the frames of ``link_range`` (start, stop) carry new track names, put in line with ``old``.
 
-    ``patched`` are new numbers inside the patch. A new track that holds the first frame takes the old number there,
-    one that holds the last frame passes its number to the old track after the patch, the rest get new numbers.
+    A new track that holds the first frame of the patch takes the old name there, if there are frames before; one that
+    holds the last frame passes its name to the old track after the patch. New tracks without an old name
+    keep theirs, which must differ from all old ones. An old track that doesn't go on through the patch gets
+    the name of its first new continuation, or stays as it is unless its name went to another track in the patch; it
+    then takes that name negated and less one.
     """
     start, stop = link_range
-    frame, old = pdf[t].to_numpy(), pdf["particle"].to_numpy().astype(np.int64)
-    inside = (frame >= start) & (frame < stop)
-    out = old.copy()
-    if not inside.any():
-        return out
-    new = np.asarray(patched)
-    name: dict[int, int] = {}
-    first, last = frame[inside].min(), frame[inside].max()
-    for k, o in zip(new[inside & (frame == first)], old[inside & (frame == first)]):
-        if start > frame.min():
-            name[int(k)] = int(o)
-    free = int(max(old.max(), -1)) + 1
-    for k in dict.fromkeys(new[inside].tolist()):
-        if k not in name:
-            name[k] = free
-            free += 1
-    out[inside] = [name[int(k)] for k in new[inside]]
-    after = frame >= stop
-    at_last = inside & (frame == last)
-    change = {int(o): name[int(k)] for k, o in zip(new[at_last], old[at_last])}
-    taken = set(out[inside].tolist())
-    for o in dict.fromkeys(old[after].tolist()):
-        if o in change:
-            continue
-        if o in taken:  # its number went to another track
-            change[o] = free
-            free += 1
-    out[after] = [change.get(int(o), int(o)) for o in old[after]]
-    return out
-
-
-def link_partial(df: DataFrame, groups: Sequence[str], search_range, link_range: tuple[int, int], pos: Sequence[str] = ("y", "x"), t: str = "frame", **kw) -> DataFrame:
-    """``df`` (with ``particle``) with the frames start <= frame < stop linked anew and the rest kept connected."""
-    pos = list(pos)
+    groups = list(groups)
+    on = lambda a, b: [a[g].eqNullSafe(b[g]) for g in groups]
+    every = df.where(F.col(new).isNotNull())
+    inside = every.where((F.col(t) >= start) & (F.col(t) < stop))
+    ends = inside.groupBy(*groups).agg(F.min(t).alias("_first"), F.max(t).alias("_last"))
+    before = every.where(F.col(t) < start).select(*groups).distinct().withColumn("_has", F.lit(True)) if groups else None
+    at = _null_safe(inside, ends, groups)
+    if groups:
+        at = _null_safe(at, before, groups, "left")
+    else:
+        at = at.withColumn("_has", F.lit(not every.where(F.col(t) < start).isEmpty()))
+    named = at.where((F.col(t) == F.col("_first")) & F.col("_has")).groupBy(*groups, F.col(new).alias("_new")).agg(F.min(old).alias("_name"))
+    renamed = _null_safe(at.withColumn("_new", F.col(new)), named, [*groups, "_new"], "left").withColumn("_name", F.coalesce("_name", "_new"))
+    passed = renamed.where(F.col(t) == F.col("_last")).groupBy(*groups, F.col(old).alias("_old")).agg(F.min("_name").alias("_after"))
+    taken = renamed.select(*groups, F.col("_name").alias("_old")).distinct().withColumn("_taken", F.lit(True))
+    rest = df.where(~((F.col(t) >= start) & (F.col(t) < stop)) | F.col(t).isNull() | F.col(new).isNull())
+    rest = _null_safe(_null_safe(rest.withColumn("_old", F.col(old)), passed, [*groups, "_old"], "left"), taken, [*groups, "_old"], "left")
+    name = F.when((F.col(t) >= stop) & F.col("_after").isNotNull(), F.col("_after")).when((F.col(t) >= stop) & F.col("_taken"), -F.col(old) - 1).otherwise(F.col(old))
+    cols = df.columns
+    done = renamed.select(*[F.col("_name").alias(new) if c == new else F.col(c) for c in cols])
+    return done.unionByName(rest.select(*[name.alias(new) if c == new else F.col(c) for c in cols]))
+
+
+def _null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys, NULL equal to NULL, that keeps ``a``'s columns and ``b``'s others."""
+    if not keys:
+        return a.crossJoin(F.broadcast(b))  # one row for each aggregate without groups
+    other = b.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    return a.join(other, cond, how).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
+def link_partial(df: DataFrame, groups: Sequence[str], ident: str, search_range, link_range: tuple[int, int], pos: Sequence[str] = ("y", "x"), t: str = "frame", **kw) -> DataFrame:
+    """``df`` (with ``particle``) with the frames start <= frame < stop linked anew and the rest kept connected.
+
+    Options are ``link``'s. Relinked tracks that don't go on from before are named -1 less the ident of their first
+    feature, so that they differ from all given names, which must not be negative. See ``reconnect``. Rows whose
+    position or frame is missing keep their particle.
+    """
     start, stop = link_range
     if not start < stop:
         raise ValueError("link_range must not be empty")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        inside = ((pdf[t] >= start) & (pdf[t] < stop)).to_numpy()
-        new = np.full(len(pdf), -1, dtype=np.int64)
-        if inside.any():
-            new[inside] = fold(pdf[inside], pos, t, lambda: Linker(search_range, **kw))
-        return pdf.assign(particle=reconnect(pdf, link_range, new, t))
-
-    return df.groupBy(*groups).applyInPandas(run, df.schema)
+    old, new = free_name(df, "_old"), free_name(df, "_new")
+    patch = df.where((F.col(t) >= start) & (F.col(t) < stop))
+    fresh = link(patch.select(*dict.fromkeys([*groups, ident, *pos, t])), groups, ident, search_range, pos, t, **kw).select(F.col(ident).alias(new), F.col("particle").cast("bigint").alias("_p"))
+    names = df.withColumnRenamed("particle", old).join(fresh, F.col(ident) == F.col(new), "left")
+    names = names.withColumn("particle", F.when(F.col("_p").isNotNull(), -F.col("_p") - 1).otherwise(F.col(old)))
+    return reconnect(names.drop("_p", new), groups, link_range, t, "particle", old).select(*df.columns)

@@ -1,7 +1,7 @@
 """Predictors: where the particles of the last frame are expected in the next one.
 
-A predictor has ``predict(t, ids, pos)``, the expected positions, and ``observe(t, ids, pos)``, told of each linked
-frame. A plain function becomes one by ``predictor``.
+A predictor has ``predict(t, ids, pos, seen)``, the expected positions of particles last seen at times ``seen``, and
+``observe(t, ids, pos)``, told of each linked frame. A plain function becomes one by ``predictor``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 
+from motespark.operators.assignment import nearest
+
 
 class NullPredict:
     """Nothing moves."""
@@ -19,7 +21,7 @@ class NullPredict:
     def observe(self, t: int, ids: np.ndarray, pos: np.ndarray) -> None:
         pass
 
-    def predict(self, t: int, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    def predict(self, t: int, ids: np.ndarray, pos: np.ndarray, seen: np.ndarray) -> np.ndarray:
         return pos
 
 
@@ -27,7 +29,7 @@ def predictor(func: Callable) -> type:
     """A predictor class of a function (t, id, position) -> position of one particle."""
 
     class OfFunction(NullPredict):
-        def predict(self, t, ids, pos):
+        def predict(self, t, ids, pos, seen):
             return np.array([func(t, i, p) for i, p in zip(ids, pos)]).reshape(pos.shape)
 
     return OfFunction
@@ -44,38 +46,35 @@ class RecentVelocity(NullPredict):
         if len(pos):
             self.seen.append((t, np.asarray(ids), np.asarray(pos)))
 
-    def velocities(self) -> tuple[np.ndarray, np.ndarray, float]:
-        """(positions, velocities, time of the last frame) of the particles in both frames."""
+    def velocities(self) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, velocities) of the particles in both frames."""
         if not self.seen:
-            return np.zeros((0, 1)), np.zeros((0, 1)), 0
+            return np.zeros((0, 1)), np.zeros((0, 1))
         t1, ids1, pos1 = self.seen[-1]
         t0, ids0, pos0 = self.seen[0]
         if t1 == t0:
             if self.guess is not None:
                 g = np.atleast_2d(self.guess)
-                return (np.atleast_2d(self.guess_pos) if self.guess_pos is not None else np.zeros_like(g)), g, t1
-            return pos1, np.zeros_like(pos1), t1
+                return (np.atleast_2d(self.guess_pos) if self.guess_pos is not None else np.zeros_like(g)), g
+            return pos1, np.zeros_like(pos1)
         _, i1, i0 = np.intersect1d(ids1, ids0, return_indices=True)
-        return pos1[i1], (pos1[i1] - pos0[i0]) / (t1 - t0), t1
+        return pos1[i1], (pos1[i1] - pos0[i0]) / (t1 - t0)
 
 
 class NearestVelocityPredict(RecentVelocity):
-    """Each particle moves as the nearest one of known velocity."""
+    """Each particle moves as the nearest one of known velocity, since it was last seen."""
 
-    def predict(self, t, ids, pos):
-        at, v, t1 = self.velocities()
-        if not len(v):
-            return pos
-        near = ((pos[:, None, :] - at[None]) ** 2).sum(axis=2).argmin(axis=1) if len(pos) * len(at) < 1e7 else np.array([((at - p) ** 2).sum(axis=1).argmin() for p in pos])
-        return pos + v[near] * (t - t1)
+    def predict(self, t, ids, pos, seen):
+        at, v = self.velocities()
+        return pos + v[nearest(pos, at)] * (t - seen)[:, None] if len(v) else pos
 
 
 class DriftPredict(RecentVelocity):
-    """All particles move at the mean velocity."""
+    """All particles move at the mean velocity, each since it was last seen."""
 
-    def predict(self, t, ids, pos):
-        _, v, t1 = self.velocities()
-        return pos + v.mean(axis=0) * (t - t1) if len(v) else pos
+    def predict(self, t, ids, pos, seen):
+        _, v = self.velocities()
+        return pos + v.mean(axis=0) * (t - seen)[:, None] if len(v) else pos
 
 
 class ChannelPredict(RecentVelocity):
@@ -91,7 +90,7 @@ class ChannelPredict(RecentVelocity):
 
     def observe(self, t, ids, pos):
         super().observe(t, ids, pos)
-        at, v, _ = self.velocities()
+        at, v = self.velocities()
         if len(v) and self.seen[-1][0] != self.seen[0][0]:
             b = np.floor(at[:, 1 - self.flow] / self.size)
             bins, inv, n = np.unique(b, return_inverse=True, return_counts=True)
@@ -99,14 +98,14 @@ class ChannelPredict(RecentVelocity):
             if ok.any():
                 self.profile = ((bins[ok] + 0.5) * self.size, (np.bincount(inv, weights=v[:, self.flow]) / n)[ok])
 
-    def predict(self, t, ids, pos):
+    def predict(self, t, ids, pos, seen):
         if self.profile is None or not len(pos) or not self.seen:
             return pos
         at, v = self.profile
         out = pos.copy()
         own = (np.floor(pos[:, 1 - self.flow] / self.size) + 0.5) * self.size
         near = np.abs(own[:, None] - np.asarray(at)[None]).argmin(axis=1)
-        out[:, self.flow] += np.asarray(v)[near] * (t - self.seen[-1][0])
+        out[:, self.flow] += np.asarray(v)[near] * (t - seen)
         return out
 
 
@@ -119,8 +118,8 @@ def instrumented(cls: type) -> type:
             self.log: list[tuple] = []
             self.real: dict[int, tuple] = {}
 
-        def predict(self, t, ids, pos):
-            out = super().predict(t, ids, pos)
+        def predict(self, t, ids, pos, seen):
+            out = super().predict(t, ids, pos, seen)
             self.log.append((t, np.array(ids), np.array(out)))
             return out
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from motespark.common import cut, need, present
 from motespark.operators.components import connected_components
 
+#: side of a region whose close pairs meet in one task, in separations
+TILE = 64.0
+
 
 def _points(df: DataFrame, groups: Sequence[str], ident: str, pos: Sequence[str], extra: dict[str, Column] | None = None) -> DataFrame:
     need(df, *groups, ident, *pos)
@@ -224,8 +227,9 @@ def cluster(df: DataFrame, groups: Sequence[str], ident: str, separation: float
     sep = list(separation) if hasattr(separation, "__iter__") else [separation] * len(pos)
     pts = _points(df, groups, ident, pos)
     pts = pts.withColumns({f"p{i}": F.col(f"p{i}") / F.lit(float(s)) for i, s in enumerate(sep)})
-    edges = pairs_within(pts, groups, len(pos), 1.0).select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"))
-    comp = connected_components(edges)
+    tiles = [F.floor(F.col(f"a_p{i}") / F.lit(TILE)).alias(f"tile{i}") for i in range(len(pos))]
+    edges = pairs_within(pts, groups, len(pos), 1.0).select(F.xxhash64(*groups, *tiles).alias("tile"), F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"))
+    comp = connected_components(edges, near=["tile"])
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
     member = comp.join(sizes, "component").select(F.col("id").alias(ident), "component", "_size")
     out = df.join(member, ident, "left")

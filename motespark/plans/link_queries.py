@@ -26,29 +26,29 @@ def link(spark, d):
     return lk.link(features(spark, d), G, "feature_id", RANGE, max_size=1000).select("feature_id", "particle")
 
 
-def _stateful(spark, d, **kw):
-    return lk.link_stateful(features(spark, d), G, RANGE, max_size=1000, **kw).select("video_id", "frame", "feature_id", "particle")
+def _linked(spark, d, **kw):
+    return lk.link(features(spark, d), G, "feature_id", RANGE, **kw).select("video_id", "frame", "feature_id", "particle")
 
 
 def link_memory(spark, d):
-    return _stateful(spark, d, memory=3)
+    return _linked(spark, d, memory=3, max_size=1000)
 
 
 def link_adaptive(spark, d):
-    return lk.link_stateful(features(spark, d), G, RANGE, adaptive_stop=0.05, adaptive_step=0.9).select("video_id", "frame", "feature_id", "particle")
+    return _linked(spark, d, adaptive_stop=0.05, adaptive_step=0.9)
 
 
 def link_predict_drift(spark, d):
-    return _stateful(spark, d, predictor=DriftPredict)
+    return _linked(spark, d, predictor=DriftPredict, max_size=1000)
 
 
 def link_predict_nearest(spark, d):
-    return _stateful(spark, d, predictor=NearestVelocityPredict, memory=1)
+    return _linked(spark, d, predictor=NearestVelocityPredict, memory=1, max_size=1000)
 
 
 def link_partial(spark, d):
     t = features(spark, d).withColumn("particle", F.col("feature_id"))
-    return lk.link_partial(t, G, RANGE, (10, 60), max_size=1000).select("video_id", "frame", "feature_id", "particle")
+    return lk.link_partial(t, G, "feature_id", RANGE, (10, 60), max_size=1000).select("video_id", "frame", "feature_id", "particle")
 
 
 QUERIES = {f.__name__: f for f in (link_candidates, link_drop, link, link_memory, link_adaptive, link_predict_drift, link_predict_nearest, link_partial)}

@@ -3,7 +3,9 @@ import pandas as pd
 import pytest
 
 from motespark.operators import linking as lk
-from motespark.operators.assignment import SubnetOversizeError, assign, cheapest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from motespark.operators.assignment import SubnetOversizeError, UnknownLinkingError, assign, cheapest, nearest, neighbours
 from motespark.operators.predict import ChannelPredict, DriftPredict, NearestVelocityPredict, instrumented
 
 P = "frame bigint, id bigint, x double, y double"
@@ -133,13 +135,73 @@ def test_metric_and_map():
 
 def test_partial(spark):
     t = table(spark, [[(0, 0)], [(1, 0)], [(2, 0)], [(3, 0)]]).toPandas().assign(particle=[3, 5, 6, 3])
-    out = lk.link_partial(spark.createDataFrame(t), [], 5, (1, 3)).toPandas().sort_values("id").particle.tolist()
+    out = lk.link_partial(spark.createDataFrame(t), [], "id", 5, (1, 3)).toPandas().sort_values("id").particle.tolist()
     assert out[0] == 3 and out[1] == out[2]
-    whole = lk.link_partial(spark.createDataFrame(t), [], 5, (0, 4)).toPandas()
+    whole = lk.link_partial(spark.createDataFrame(t), [], "id", 5, (0, 4)).toPandas()
     assert whole.particle.nunique() == 1
     with pytest.raises(ValueError):
-        lk.link_partial(spark.createDataFrame(t), [], 5, (3, 3))
-
+        lk.link_partial(spark.createDataFrame(t), [], "id", 5, (3, 3))
+
+
+def test_partial_names(spark):
+    """Old names come in at the patch's first frame and go on after its last; what is cut off gets names of its own."""
+    rows = [(0, 1, 0.0, 3), (0, 2, 20.0, 4), (1, 3, 1.0, 3), (1, 4, 21.0, 9), (2, 5, 2.0, 8), (2, 6, 22.0, 4), (3, 7, 3.0, 7), (3, 8, 23.0, 9), (3, 9, 60.0, 3)]
+    for groups in ([], ["g"]):
+        df = spark.createDataFrame([(f, i, x, 0.0, p, 1) for f, i, x, p in rows], "frame bigint, id bigint, x double, y double, particle bigint, g bigint")
+        got = {r.id: r.particle for r in lk.link_partial(df, groups, "id", 5, (1, 3)).collect()}
+        assert got[1] == got[3] == got[5] == 3 and got[2] == 4 and got[4] == got[6] == 9
+        assert got[7] == 7 and got[8] == -10 and got[9] == -4  # 9 and 3 went to others in the patch; 8 and 4 didn't go on
+
+
+@pytest.mark.parametrize("tile", [64.0, 0.7])
+@pytest.mark.parametrize("kw", [{}, {"memory": 2}, {"adaptive_stop": 0.3, "adaptive_step": 0.8, "max_size": 2}, {"strategy": "drop"}, {"neighbors": None}, {"memory": 1, "adaptive_stop": 0.3, "max_size": 2}])
+def test_zones_equal_fold(spark, monkeypatch, tile, kw):
+    """However a movie is cut into zones, and with memory into sets of near points, tracks equal those of the fold."""
+    monkeypatch.setattr(lk, "TILE", tile)
+    monkeypatch.setattr(lk, "SPELL", 64 if tile > 1 else 2)
+    rng = np.random.default_rng(7)
+    pos, frames = rng.uniform(0, 70, (50, 2)), []
+    for _ in range(10):
+        pos = pos + rng.normal(0, 1.2, pos.shape)
+        frames.append(pos[rng.random(len(pos)) > 0.15])
+    t = table(spark, frames)
+    fold = {"most" if k == "neighbors" else k: v for k, v in kw.items()}
+    want = lk.link_stateful(t, [], 4.0, ident="id", **{"max_size": 30, **fold}).orderBy("id").toPandas()
+    got = lk.link(t, [], "id", 4.0, **kw).orderBy("id").toPandas()
+    assert got.particle.tolist() == want.particle.tolist()
+    assert got.particle.nunique() < len(got) * 0.6
+
+
+def test_strategies():
+    src, dst = np.array([[0.0], [1.0]]), np.array([[0.4], [1.4]])
+    assert assign(src, dst, 2.0).tolist() == [0, 1]
+    cross = lambda n, m, s, t, d, reach: [1, 0]
+    assert assign(src, dst, 2.0, strategy=cross).tolist() == [1, 0]
+    with pytest.raises(UnknownLinkingError):
+        assign(src, dst, 2.0, strategy="guess")
+    crowd = np.arange(12.0)[:, None] / 10
+    assert len(neighbours(crowd, crowd, 5.0, 3)[0]) == 36 and len(neighbours(crowd, crowd, 5.0, None)[0]) == 144
+
+
+@given(st.integers(1, 40), st.integers(1, 40), st.integers(1, 3), st.integers(0, 9))
+@settings(max_examples=60, deadline=None)
+def test_nearest_and_metric(n, m, ndim, seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(0, 5, (n, ndim)), rng.normal(0, 2, (m, ndim))
+    b[: m // 3, 0] = 1.0
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    assert (d[np.arange(n), nearest(a, b)] == d.min(axis=1)).all()
+    city = lambda p, q: np.abs(p - q).sum()
+    s, t, v = neighbours(a, b, 3.0, None, city)
+    assert set(zip(s.tolist(), t.tolist())) == {(i, j) for i in range(n) for j in range(m) if city(a[i], b[j]) <= 3.0}
+
+
+@pytest.mark.parametrize("make", [DriftPredict, NearestVelocityPredict])
+def test_predictors_remember_when_a_particle_was_seen(make):
+    grid = np.array([[0.0, 0.0], [0.0, 50.0], [0.0, 100.0]])
+    linker = lk.Linker(6.0, memory=3, predictor=make(guess=np.array([10.0, 0.0])))
+    ids = [linker.step(t, (grid + (10.0 * t, 0.0))[: 2 if t in (2, 3) else 3]) for t in range(6)]
+    assert ids[5].tolist() == ids[0].tolist() == ids[4].tolist()
 
 def test_missing_and_empty(spark):
     df = spark.createDataFrame([(0, 1, 0.0, 0.0), (1, 2, None, 0.0), (None, 3, 0.0, 0.0)], P)

@@ -105,6 +105,10 @@ def neighbours(src: np.ndarray, dst: np.ndarray, reach: float, most: int | None
     limit = reach + SLACK
     if dist_func is not None:
         s, t, v = metric_pairs(src, dst, reach, dist_func)
+    elif len(src) * len(dst) <= 4096:
+        d = np.sqrt(((src[None] - dst[:, None]) ** 2).sum(axis=2))
+        t, s = np.nonzero(d < limit)
+        v = d[t, s]
     else:
         ndim = src.shape[1]
         low = np.minimum(src.min(axis=0), dst.min(axis=0))

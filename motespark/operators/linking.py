@@ -187,7 +187,7 @@ def chains(links: DataFrame) -> DataFrame:
     return ptr.join(far, "head", "left").select("id", F.coalesce("far", "head").alias("head"))
 
 
-def _remembered(pts: DataFrame, pairs: DataFrame, ident: str, pos: Sequence[str], make: Callable[[], Linker]) -> DataFrame:
+def _remembered(pts: DataFrame, pairs: DataFrame, pos: Sequence[str], reach: float, memory: int, make: Callable[[], Linker]) -> DataFrame:
     """``id`` and ``head`` of points linked with memory: a fold over time within each set of points that come near each other.
 
     Points that are never within range, ``memory`` + 1 frames apart at most, can't compete, so components of such
@@ -204,7 +204,14 @@ def _remembered(pts: DataFrame, pairs: DataFrame, ident: str, pos: Sequence[str]
             comp = _coded(tab["component"])[1][0]
             t, at = tab["t"].to_numpy(), np.stack([tab[c].to_numpy() for c in cols], axis=1)
             head = np.empty(len(t), dtype=np.int64)
-            for part in np.split(np.arange(len(t)), np.flatnonzero(comp[1:] != comp[:-1]) + 1):
+            start = np.flatnonzero(np.r_[True, comp[1:] != comp[:-1]])
+            # a set of at most one point in each frame, each in reach of the one before, is one track
+            passed, way = np.diff(t), np.sqrt((np.diff(at, axis=0) ** 2).sum(axis=1))
+            broken = np.r_[(passed < 1) | (passed > memory + 1) | (way >= reach), False]
+            broken[start[1:] - 1] = False
+            single = np.add.reduceat(broken.astype(np.int64), start) == 0
+            head[:] = np.repeat(start, np.diff(np.r_[start, len(t)]))
+            for part in [p for p, whole in zip(np.split(np.arange(len(t)), start[1:]), single) if not whole]:
                 number = fold(at[part], t[part], make)
                 first = np.full(number.max() + 1, len(t))
                 np.minimum.at(first, number, part)
@@ -258,7 +265,7 @@ def link(
     pts, pairs, reach = _edges(df, groups, ident, search_range, pos, t, memory)
     if memory:
         opts = {"memory": memory, "strategy": strategy, "adaptive_stop": adaptive_stop, "adaptive_step": adaptive_step, "max_size": limit, "most": neighbors}
-        heads = _remembered(pts, pairs, ident, pos, lambda: Linker(reach, **opts))
+        heads = _remembered(pts, pairs, pos, reach, memory, lambda: Linker(reach, **opts))
     else:
         heads = chains(_links(_nearest_sources(pairs, neighbors), reach, strategy, limit, adaptive_stop, adaptive_step))
     label = free_name(df, "_id")

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from motespark.common import need, no_nan
 MONOIDS = {"sum": (np.add, 0.0), "max": (np.maximum, -np.inf), "min": (np.minimum, np.inf)}
 BLOCK = 8192
 CHUNK = 1 << 20
+#: time steps that a task holds in dense arrays at once, a segment's at least
+CELLS = 1 << 20
 
 
 def two_stack(values: np.ndarray, window: int, monoid: str) -> np.ndarray:
@@ -39,29 +42,45 @@ def two_stack(values: np.ndarray, window: int, monoid: str) -> np.ndarray:
     return out
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Rows of whole (source, block) segments, about CHUNK rows at a time; segments begin with a control row."""
+def _segments(batches: Iterator[pa.RecordBatch], halo: int) -> Iterator[pa.Table]:
+    """Tables of whole (source, block) segments of about CHUNK rows and CELLS time steps at most.
+
+    A segment begins with a control row and fills as many cells as it has time steps, however few rows it holds.
+    """
     rest: list[pa.RecordBatch] = []
-    held = 0
+    rows = cells = 0
+
+    def pieces(t: pa.Table, heads: np.ndarray) -> Iterator[pa.Table]:
+        size = t["until"].combine_chunks().fill_null(0).to_numpy()[heads] - t["t"].to_numpy()[heads] + 1 + halo
+        upto = np.cumsum(size)
+        first = np.flatnonzero(np.r_[True, upto[1:] // CELLS != upto[:-1] // CELLS])
+        ends = np.r_[heads[first[1:]], t.num_rows]
+        for a, b in zip(heads[first], ends):
+            yield t.slice(int(a), int(b - a))
+
     for b in batches:
         rest.append(b)
-        held += b.num_rows
-        if held >= CHUNK:
+        rows += b.num_rows
+        at = pc.filter(b["until"], pc.equal(b["kind"], 0)), pc.filter(b["t"], pc.equal(b["kind"], 0))
+        cells += (pc.sum(pc.subtract(*at)).as_py() or 0) + len(at[0]) * (1 + halo)
+        if rows >= CHUNK or cells >= CELLS:
             t = pa.Table.from_batches(rest).combine_chunks()
             heads = np.flatnonzero(t["kind"].to_numpy() == 0)
-            if heads[-1] > 0:
-                yield t.slice(0, int(heads[-1]))
-                t = t.slice(int(heads[-1]))
-            rest, held = t.to_batches(), t.num_rows
-    if held:
-        yield pa.Table.from_batches(rest).combine_chunks()
+            last = int(heads[-1])
+            if last > 0:
+                yield from pieces(t.slice(0, last), heads[:-1])
+                t = t.slice(last)
+            rest, rows, cells = t.to_batches(), t.num_rows, 0
+    if rows:
+        t = pa.Table.from_batches(rest).combine_chunks()
+        yield from pieces(t, np.flatnonzero(t["kind"].to_numpy() == 0))
 
 
 def _roller(keys: list[str], values: list[str], windows: list[int], extra: list[str], names: list[str]):
     halo = max(windows) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _segments(batches):
+        for t in _segments(batches, halo):
             kind, at = t["kind"].to_numpy(), t["t"].to_numpy()
             heads = np.flatnonzero(kind == 0)
             lo, hi = at[heads], t["until"].combine_chunks().fill_null(0).to_numpy()[heads]

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from motespark.operators.near import in_ring, near_pairs, near_pairs_geo, points_in_regions
 from motespark.operators.regular_grid import to_regular_grid
-from motespark.operators.rolling import MONOIDS, rolling, two_stack
+from motespark.operators.rolling import CELLS, MONOIDS, _segments, rolling, two_stack
 from motespark.operators.spikes import flag_readings, forest_scores, usual_step
 
 NAN = float("nan")
@@ -103,6 +104,26 @@ def test_rolling_brute(spark, block):
     assert len(got) == n
 
 
+def test_rolling_sparse_chunks():
+    """Dense arrays are bounded by time steps: sources of one reading in a whole block don't pile up."""
+    n = 2000
+    kind, at = np.tile([0, 1], n), np.tile([0, 8191], n)
+    until = [8191 if k == 0 else None for k in kind]
+    t = pa.table({"kind": pa.array(kind), "t": pa.array(at), "until": pa.array(until, pa.int64())})
+    got = list(_segments(iter(t.to_batches(max_chunksize=700)), 29))
+    assert pa.concat_tables(got).equals(t.combine_chunks()) or pa.concat_tables(got).to_pylist() == t.to_pylist()
+    assert all(p["kind"][0].as_py() == 0 for p in got)
+    cells = [sum(p["kind"].to_numpy() == 0) * 8221 for p in got]
+    assert max(cells) <= CELLS + 8221 and len(cells) >= n * 8221 // CELLS
+
+
+def test_rolling_one_reading_in_a_block(spark):
+    data = [(1, p, 8192 * k + p, 1.0, 2.0) for p in range(3) for k in range(3)]
+    out = rolling(traj(spark, data), ["video", "particle"], "frame", ["x"], [7])
+    assert out.count() == 3 * (2 * 8192 + 1)
+    assert out.where("n_x_7 = 1").count() == 3 * (2 * 7 + 1)
+
+
 def test_rolling_empty(spark):
     assert rolling(traj(spark, []), ["video", "particle"], "frame", ["x"], [7]).count() == 0
     with pytest.raises(ValueError):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from motespark.llm.mixing import apportion, mix
 from motespark.llm.oracle import ORACLES
-from motespark.llm.packing import best_fit, crossover, evolve, fitness, mutate, pack, packing_report
+from motespark.llm.packing import best_fit, crossover, evolve, fitness, least_bins, mutate, pack, packing_report
 from motespark.llm.quantiles import _as_double, digest, merge, ordered_key, percentiles
 from motespark.llm.queries import QUERIES
 from motespark.llm.spans import Hashes, anchors, shared_spans, sliding_min, span_report
@@ -163,12 +163,51 @@ def test_genetic_operators():
     sizes = rng.integers(1, 60, 300)
     a = best_fit(sizes, 100, np.argsort(-sizes))
     b = best_fit(sizes, 100, rng.permutation(300))
-    for child in (crossover(sizes, a, b, 100, rng), mutate(sizes, b, 100, rng)):
+    for child in (f for swap in (False, True) for f in (crossover(sizes, a, b, 100, rng, swap), mutate(sizes, b, 100, rng, swap))):
         assert np.bincount(child, weights=sizes).max() <= 100 and len(child) == 300
     best = evolve(sizes, 100, [b], 6, 60, rng)[0]
     assert fitness(sizes, best, 100) >= fitness(sizes, b, 100)
 
 
+def triplets(bins, capacity, rng):
+    """Items that fill ``bins`` bins in threes without a gap; best-fit decreasing needs a sixth more."""
+    a = rng.integers(int(capacity * 0.38), int(capacity * 0.49) + 1, bins)
+    b = np.array([rng.integers(capacity // 4, capacity - x - capacity // 4 + 1) for x in a])
+    return np.concatenate([a, b, capacity - a - b])
+
+
+def test_evolution_beats_best_fit_where_that_is_poor():
+    rng = np.random.default_rng(0)
+    for sizes, capacity, gain in ((triplets(83, 1000, rng), 1000, 0.1), (triplets(300, 1000, rng), 1000, 0.1), (rng.integers(30, 105, 1000), 150, 0.0)):
+        plain = best_fit(sizes, capacity, np.argsort(-sizes, kind="stable")).max() + 1
+        best = evolve(sizes, capacity, [], 4, 60, np.random.default_rng(1))[0]
+        used = best.max() + 1
+        assert least_bins(sizes, capacity) <= used <= plain * (1 - gain)
+        assert np.bincount(best, weights=sizes).max() <= capacity
+
+
+@given(st.lists(st.integers(0, 12), min_size=1, max_size=7))
+@settings(max_examples=60, deadline=None)
+def test_least_bins(sizes):
+    """Never above the number that the best of all orders needs."""
+    from itertools import permutations
+
+    sizes = np.array(sizes)
+    best = min(best_fit(sizes, 12, np.array(p)).max() + 1 for p in permutations(range(len(sizes))))
+    assert least_bins(sizes, 12) <= best
+
+
+def test_packing_across_shards(spark):
+    """What many shards leave over is packed together: hardly more containers than best-fit on all items at once."""
+    rng = np.random.default_rng(3)
+    items = {i: int(n) for i, n in enumerate(rng.integers(1, 70, 4000))}
+    df = spark.createDataFrame(list(items.items()), "doc bigint, n_tokens bigint")
+    limits = spark.createDataFrame([(1, 100)], "limit_id bigint, capacity_tokens int")
+    got = check_packing(pack(df, "doc", "n_tokens", limits, shard_items=200), items, {1: 100})
+    sizes = np.array(list(items.values()))
+    assert got.container.nunique() <= (best_fit(sizes, 100, np.argsort(-sizes)).max() + 1) + 4
+
+
 # --- mixing
 
 

@@ -17,13 +17,13 @@ from motespark.functions.imageproc import (
     scale_to_gamut,
     scalefactor_to_gamut,
 )
-from motespark.functions.scalar import extract, fit_powerlaw, lazy_timestamp, random_walk, safe_exp, time_interval, timedelta_to_frame, timestamp
+from motespark.functions.scalar import extract, fit_powerlaw, lazy_timestamp, random_walk, safe_exp, seconds, seconds_between, time_interval, timedelta_to_frame, timestamp
 from motespark.functions.synth import SimulatedImage, draw_array, draw_cluster, draw_feature, draw_features_brightfield, draw_spots
-from motespark.operators.assignment import SubnetOversizeError
+from motespark.operators.assignment import SubnetOversizeError, UnknownLinkingError
 from motespark.operators.brightfield import brightfield_batch, locate_brightfield_ring
 from motespark.operators.filtering import bust_clusters, bust_ghosts, filter_clusters, filter_stubs, filter_tracks, mass_size_filter, strip_diagnostics, topn, verify_integrity
 from motespark.operators.find_link import FindLinker, find_link
-from motespark.operators.linking import Linker, link, link_candidates, link_frames, link_partial, link_stateful, renumber
+from motespark.operators.linking import Linker, link, link_candidates, link_df_iter, link_frames, link_partial, link_stateful, reconnect, renumber
 from motespark.operators.locate import batch, characterize, estimate_mass, estimate_size, locate, minmass_v03_change, minmass_v04_change, refine_com
 from motespark.operators.motion import (
     compute_drift,
@@ -55,6 +55,6 @@ from motespark.sources.frames import pixel_table, read_frames
 from motespark.sources.framestore import FrameStore
 from motespark.streaming.linker import link_stream
 
-link_df, link_iter, link_df_iter = link, link_frames, link_frames
+link_df, link_iter, refine, reconnect_traj_patch = link, link_frames, refine_com, reconnect
 
 __all__ = [n for n in dir() if not n.startswith("_")]

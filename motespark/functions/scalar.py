@@ -21,16 +21,31 @@ def timestamp(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))
 
 
-def lazy_timestamp(text: Column) -> Column:
-    """'5' is 5 seconds, '2:05' two minutes and five: the text fills 00:00:00 from the right. As seconds; NULL if not of that form."""
-    t = F.trim(text)
-    full = F.concat(F.substring(F.lit("00:00:00"), F.lit(1), F.greatest(F.lit(8) - F.length(t), F.lit(0))), t)
-    part = lambda i: F.substring(full, i, 2).cast("int")
-    return F.when(full.rlike(r"^\d\d:\d\d:\d\d$"), (part(1) * 3600 + part(4) * 60 + part(7)).cast("bigint"))
+def lazy_timestamp(text: Column, strict: bool = False) -> Column:
+    """'0:37' as '00:00:37': a text that begins like HH:MM:SS, H:MM:SS, MM:SS or M:SS fills 00:00:00 from the right.
 
+    Others are NULL, or with ``strict`` an error; NULL stays NULL. A text of more than eight characters stays as it is.
+    """
+    full = F.concat(F.substring(F.lit("00:00:00"), F.lit(1), F.greatest(F.lit(8) - F.length(text), F.lit(0))), text)
+    bad = F.raise_error(F.concat(F.lit("no time of day: "), text)) if strict else F.lit(None).cast("string")
+    return F.when(text.isNull(), F.lit(None).cast("string")).when(text.rlike(r"^\d?\d?:?\d?\d:\d\d"), full).otherwise(bad)
 
-def time_interval(a: Column, b: Column) -> Column:
-    """Seconds from a to b."""
+
+def time_interval(text: Column) -> Column:
+    """The interval that a text beginning with HH:MM:SS names, NULL if it is none."""
+    pattern = r"^([0-9][0-9]):([0-5][0-9]):([0-5][0-9])"
+    h, m, s = (F.regexp_extract(text, pattern, i).cast("int") for i in (1, 2, 3))
+    return F.when(text.rlike(pattern), F.make_dt_interval(F.lit(0), h, m, s.cast("decimal(18,6)")))
+
+
+def seconds(interval: Column) -> Column:
+    """An interval's length in seconds."""
+    part = lambda unit: F.date_part(F.lit(unit), interval).cast("double")
+    return part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")
+
+
+def seconds_between(a: Column, b: Column) -> Column:
+    """Seconds from timestamp a to timestamp b."""
     return b.cast("timestamp").cast("double") - a.cast("timestamp").cast("double")
 
 

@@ -7,7 +7,7 @@ movie, which a predictor or a custom metric asks for.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -334,6 +334,25 @@ def link_frames(frames: Iterator[tuple[int, np.ndarray]], search_range, **kw) ->
         yield t, linker.step(t, coords)
 
 
+def link_df_iter(tables: Iterable[pd.DataFrame], search_range, pos: Sequence[str] = ("y", "x"), t: str = "frame", fill: bool = True, **kw) -> Iterator[pd.DataFrame]:
+    """The tables of a stream, one for each frame, with ``particle``; options are Linker's.
+
+    An empty table is a frame without features; with ``fill`` so is a frame number that is passed over. Rows with a
+    missing position get a NULL particle.
+    """
+    linker, last, pos = Linker(search_range, **kw), None, list(pos)
+    for f in tables:
+        ok = f[pos].notna().all(axis=1).to_numpy()
+        now = int(f[t].iloc[0]) if len(f) else (0 if last is None else last + 1)
+        for gap in range(last + 1, min(now, last + linker.memory + 2)) if fill and last is not None else ():
+            linker.step(gap, np.zeros((0, len(pos))))
+        number = pd.array(np.full(len(f), -1), dtype="Int64")
+        number[ok] = linker.step(now, f.loc[ok, pos].to_numpy(dtype=float).reshape(-1, len(pos)))
+        number[~ok] = pd.NA
+        yield f.assign(particle=number)
+        last = now
+
+
 def fold(coords: np.ndarray, frames: np.ndarray, make: Callable[[], Linker], fill: bool = True) -> np.ndarray:
     """Particle numbers of one movie's points; ``fill`` takes missing frames as empty ones."""
     order = np.argsort(frames, kind="stable")

@@ -78,8 +78,8 @@ def great_circle_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column)
 def near_pairs_geo(df: DataFrame, groups: Sequence[str], ident: str, lat: str, lon: str, km: float) -> DataFrame:
     """Pairs of idents of one group within ``km`` kilometres on the sphere.
 
-    The sphere is embedded in three dimensions: a great-circle distance bounds the chord, so cubes with the chord as
-    their side find every pair, across the date line and at the poles too. The haversine formula decides. Points
+    The sphere is embedded in three dimensions: a great-circle distance bounds the chord, so cubes of twice the chord
+    find every pair in neighbouring cubes within reach, across the date line and at the poles too. The haversine formula decides. Points
     outside -90..90 latitude or with missing coordinates match nothing; longitudes are taken modulo 360.
     """
     groups = list(groups)
@@ -91,15 +91,21 @@ def near_pairs_geo(df: DataFrame, groups: Sequence[str], ident: str, lat: str, l
     chord = 2 * EARTH_KM * math.sin(min(km / EARTH_KM / 2, math.pi / 2)) * (1 + 1e-9) + 1e-9
     p, q = F.radians("lat"), F.radians("lon")
     pts = df.where(ok).select(*[F.col(g).alias(a) for g, a in zip(groups, gs)], F.col(ident).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).distinct()
-    xyz = {"cx": F.cos(p) * F.cos(q), "cy": F.cos(p) * F.sin(q), "cz": F.sin(p)}
-    home = pts.withColumns({k: F.floor(v * F.lit(EARTH_KM / chord)).cast("bigint") for k, v in xyz.items()})
-    near = F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip((i, j, k), ("i", "j", "k"))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    a = home.withColumn("_c", F.explode(near)).select(
-        *gs, (F.col("cx") + F.col("_c.i")).alias("cx"), (F.col("cy") + F.col("_c.j")).alias("cy"), (F.col("cz") + F.col("_c.k")).alias("cz"), F.col("id").alias("id_a"), F.col("lat").alias("la"), F.col("lon").alias("oa")
-    )
-    b = home.select(*gs, "cx", "cy", "cz", F.col("id").alias("id_b"), F.col("lat").alias("lb"), F.col("lon").alias("ob"))
+    axes = {"x": F.cos(p) * F.cos(q), "y": F.cos(p) * F.sin(q), "z": F.sin(p)}
+    # cubes of twice the chord: in each axis at most one neighbour is within reach, about three cubes in all
+    size = F.lit(2 * chord / EARTH_KM)
+    slack = F.lit(chord / EARTH_KM * (1 + 1e-9) + 1e-12)
+    home = pts.withColumns(axes).withColumns({f"c{k}": F.floor(F.col(k) / size).cast("bigint") for k in axes})
+    visit = home
+    for k in axes:
+        c, at = F.col(f"c{k}"), F.col(k)
+        within = F.array(c, F.when(at - c * size <= slack, c - 1), F.when((c + 1) * size - at <= slack, c + 1))
+        visit = visit.withColumn(f"c{k}", F.explode(F.filter(within, lambda v: v.isNotNull())))
+    cells = [*gs, "cx", "cy", "cz"]
+    a = visit.select(*cells, F.col("id").alias("id_a"), F.col("lat").alias("la"), F.col("lon").alias("oa"))
+    b = home.select(*cells, F.col("id").alias("id_b"), F.col("lat").alias("lb"), F.col("lon").alias("ob"))
     d = great_circle_km(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob"))
-    out = a.join(b, [*gs, "cx", "cy", "cz"]).where(F.col("id_a") < F.col("id_b")).withColumn("distance", d).where(F.col("distance") <= km)
+    out = a.join(b, cells).where(F.col("id_a") < F.col("id_b")).withColumn("distance", d).where(F.col("distance") <= km)
     return out.select(*[F.col(g).alias(n) for g, n in zip(gs, groups)], "id_a", "id_b", "distance")
 
 

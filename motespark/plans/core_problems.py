@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motespark.common import rounded, small_side, table
-from motespark.operators.near import near_pairs, points_in_regions
+from motespark.operators.near import near_pairs, near_pairs_geo, points_in_regions
 from motespark.operators.regular_grid import to_regular_grid
 from motespark.operators.rolling import rolling
 from motespark.operators.spikes import flag_readings
@@ -38,7 +38,15 @@ def p4_rolling(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = near_pairs(table(spark, d, "features"), ["video_id", "frame"], "feature_id", "x", "y", 3.0)
-    return pairs.select(F.col("id_a").alias("feature_id_a"), F.col("id_b").alias("feature_id_b")).distinct()
+    return pairs.select(F.col("id_a").alias("feature_id_a"), F.col("id_b").alias("feature_id_b"))
+
+
+def p5_geo(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs within 250 km, the field of each movie taken as a map of the globe."""
+    v = table(spark, d, "videos").select("video_id", F.col("width").cast("double").alias("w"), F.col("height").cast("double").alias("h"))
+    f = table(spark, d, "features").join(small_side(v, MAX_VIDEOS), "video_id").select("video_id", "frame", "feature_id", ((F.col("y") / F.col("h")) * 180 - 90).alias("lat"), ((F.col("x") / F.col("w")) * 360 - 180).alias("lon"))
+    pairs = near_pairs_geo(f, ["video_id", "frame"], "feature_id", "lat", "lon", 250.0)
+    return pairs.select("video_id", "frame", F.col("id_a").alias("feature_id_a"), F.col("id_b").alias("feature_id_b"), F.round("distance", 3).alias("km"))
 
 
 def p5_regions(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +74,12 @@ def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d)
 
 
-QUERIES = {"p2_found": p2_found, "p2_grid": p2_grid, "p4_rolling": p4_rolling, "p5_found": p5_found, "p5_regions": p5_regions, "p6_found": p6_found, "p6_scores": p6_scores}
+def p6_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Readings beyond the field, by the physical-limit rule alone."""
+    return _flags(spark, d).where("outside").select("video_id", "particle", "frame")
+
+
+QUERIES = {"p2_found": p2_found, "p2_grid": p2_grid, "p4_rolling": p4_rolling, "p5_found": p5_found, "p5_regions": p5_regions, "p5_geo": p5_geo, "p6_found": p6_found, "p6_scores": p6_scores, "p6_limits": p6_limits}
 
 
 _READ = f"""
@@ -114,6 +127,19 @@ q AS (SELECT p.*, cx + dx AS jx, cy + dy AS jy FROM p, (VALUES (-1), (0), (1)) a
 SELECT DISTINCT a.feature_id AS feature_id_a, b.feature_id AS feature_id_b FROM q a
 JOIN p b ON a.video_id = b.video_id AND a.frame = b.frame AND a.jx = b.cx AND a.jy = b.cy
 WHERE a.feature_id < b.feature_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9.0""",
+    "p5_geo": f"""
+WITH p AS (SELECT DISTINCT video_id, frame, feature_id, radians(y / CAST(height AS DOUBLE) * 180 - 90) AS lat, radians(x / CAST(width AS DOUBLE) * 360 - 180) AS lon
+           FROM features JOIN videos USING (video_id) WHERE {OK}),
+q AS (SELECT * FROM p WHERE abs(lat) <= radians(90)),
+e AS (SELECT a.video_id, a.frame, a.feature_id AS feature_id_a, b.feature_id AS feature_id_b,
+             pow(sin((b.lat - a.lat) / 2), 2) + cos(a.lat) * cos(b.lat) * pow(sin((b.lon - a.lon) / 2), 2) AS h
+      FROM q a JOIN q b ON a.video_id = b.video_id AND a.frame = b.frame AND a.feature_id < b.feature_id)
+SELECT video_id, frame, feature_id_a, feature_id_b, round(2 * 6371.0088 * asin(sqrt(least(h, 1.0))), 3) AS km
+FROM e WHERE 2 * 6371.0088 * asin(sqrt(least(h, 1.0))) <= 250.0""",
+    "p6_limits": f"""
+WITH r AS (SELECT t.video_id, t.particle, t.frame, min(struct_pack(x := t.x, y := t.y)) AS p, any_value(v.width) AS w, any_value(v.height) AS h
+           FROM traj t JOIN videos v USING (video_id) WHERE t.particle IS NOT NULL AND {OK} GROUP BY ALL)
+SELECT video_id, particle, frame FROM r WHERE p.x < -0.5 OR p.x > w - 0.5 OR p.y < -0.5 OR p.y > h - 0.5""",
     "p5_regions": f"""
 SELECT video_id, 'diamond' AS region, count(DISTINCT feature_id) AS n_features FROM features JOIN videos USING (video_id)
 WHERE {OK} AND abs(x - width / 2) / (width / 2) + abs(y - height / 2) / (height / 2) < 1 GROUP BY video_id""",

@@ -66,9 +66,12 @@ def test_stream(spark, tmp_path):
 
 
 def test_scalar(spark):
-    r = spark.createDataFrame([("5", "a12b"), ("2:05", "zz"), ("x", None)], "t string, s string")
-    got = r.select(sc.lazy_timestamp(F.col("t")).alias("t"), sc.extract(r"(\d+)", F.col("s"), 1, "int").alias("n")).collect()
-    assert [(g.t, g.n) for g in got] == [(5, 12), (125, None), (None, None)]
+    r = spark.createDataFrame([("0:37", "a12b"), ("2:05", "zz"), ("01:02:03", "7"), ("x", None), (None, "1")], "t string, s string")
+    got = r.select(sc.lazy_timestamp(F.col("t")).alias("t"), sc.extract(r"(\d+)", F.col("s"), 1, "int").alias("n"), sc.seconds(sc.time_interval(F.col("t"))).alias("i")).collect()
+    assert [(g.t, g.n, g.i) for g in got] == [("00:00:37", 12, None), ("00:02:05", None, None), ("01:02:03", 7, 3723.0), (None, None, None), (None, 1, None)]
+    assert r.where("t is null or t <> 'x'").select(sc.lazy_timestamp(F.col("t"), strict=True)).count() == 4
+    with pytest.raises(Exception, match="no time of day"):
+        r.select(sc.lazy_timestamp(F.col("t"), strict=True)).collect()
     e = spark.createDataFrame([(-1000.0,), (0.0,), (float("nan"),), (None,)], "x double").select(sc.safe_exp(F.col("x")).alias("e")).collect()
     assert e[0].e == 0 and e[1].e == 1 and e[2].e != e[2].e and e[3].e is None
     fit = sc.fit_powerlaw(spark.createDataFrame([(float(x), 3.0 * x**2) for x in range(1, 6)], "x double, y double"), "x", "y").first()

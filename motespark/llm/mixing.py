@@ -57,6 +57,7 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, source: str, tokens: str, blo
     usable = (got.weight > 0) & (most > 0)
     reachable = (most / got.weight)[usable].min() if usable.any() else 0.0
     size = float(total if total is not None else reachable)
+    got["binds"] = usable & (most / got.weight.where(usable, 1.0) <= reachable) if total is None else False
     block = max(size / blocks, 1.0)
     got["block"] = block
     m = np.where(got.available > 0, np.maximum(np.round(got.available / block), 1), 0)
@@ -77,7 +78,8 @@ def mix(
     blocks is used once more than the rest.
 
     Records: ``ident``, source, tokens, ``repeats`` (at least 1, at most ``max_repeats``). Report, one row per target
-    source: available and selected tokens, ``share`` reached, ``reached`` (within one block or one longest record).
+    source: available and selected tokens, ``share`` reached, ``reached`` (within two blocks or longest records), and
+    ``binds``: by default, is this the source whose tokens and repeats limit the total?
     Sources without a target, or NULL, are left out; a target source without records has share 0. NULL token counts
     count as 0, rows with a NULL ident are dropped and repeated rows count once. Target shares are scaled to sum 1.
     """
@@ -110,8 +112,8 @@ def mix(
     d = d.withColumn("block", block).withColumn("repeats", F.floor(F.col("q") / F.col("m")).cast("bigint") + F.when(F.pmod(F.col("block") - turn, F.col("m")) < F.pmod("q", "m"), 1).otherwise(0))
     chosen = d.where("repeats > 0").select(F.col("id").alias(ident), F.col("source"), F.col("n").alias("n_tokens"), "repeats")
     facts = spark.createDataFrame(
-        [(r.source, float(r.target_share) if r.target_share == r.target_share else None, int(r.repeats), int(r.records), int(r.available), float(r.block)) for r in plan.itertuples()],
-        "source string, target_share double, max_repeats bigint, records bigint, available_tokens bigint, block double",
+        [(r.source, float(r.target_share) if r.target_share == r.target_share else None, int(r.repeats), int(r.records), int(r.available), float(r.block), bool(r.binds)) for r in plan.itertuples()],
+        "source string, target_share double, max_repeats bigint, records bigint, available_tokens bigint, block double, binds boolean",
     )
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("selected_tokens"), F.max("repeats").alias("most_repeats"), F.count(F.lit(1)).alias("selected_records"), F.max(F.col("n_tokens") * F.col("repeats")).alias("longest"))
     rep = facts.join(F.broadcast(used), "source", "left")
@@ -122,6 +124,6 @@ def mix(
     slack = (F.greatest(zero("longest"), F.col("block")) * 2) / F.greatest(F.col("all"), F.lit(1))
     report = rep.select(
         "source", "target_share", "max_repeats", "records", "available_tokens", zero("selected_records").alias("selected_records"), zero("selected_tokens").alias("selected_tokens"),
-        zero("most_repeats").alias("most_repeats"), F.round("share", 6).alias("share"), (F.col("share") >= F.coalesce(F.col("target_share"), F.lit(0.0)) - slack).alias("reached"),
+        zero("most_repeats").alias("most_repeats"), F.round("share", 6).alias("share"), (F.col("share") >= F.coalesce(F.col("target_share"), F.lit(0.0)) - slack).alias("reached"), "binds",
     )
     return chosen, report

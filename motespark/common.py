@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +90,17 @@ def release(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def first_rows(tab: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """First rows of the stretches of a table that are equal in the named columns, which hold no NULL."""
+    n = tab.num_rows
+    new = np.zeros(n, dtype=bool)
+    new[:1] = True
+    for c in names if n > 1 else ():
+        a = tab[c].combine_chunks()
+        new[1:] |= pc.not_equal(a.slice(1), a.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name starting with ``base`` that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

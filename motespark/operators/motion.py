@@ -8,31 +8,119 @@ have at most one row for a frame; repeated rows must be dropped before (``distin
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from motespark.common import need, present
+from motespark.common import first_rows, need, present
 from motespark.operators.intervals import next_reading
 
 KEYS = ("particle",)
 XY = ("x", "y")
+#: frames of a block of one track
+BLOCK = 4096
+#: rows, and cells of (segment, lag), that a task works on at once
+CHUNK = 200_000
+CELLS = 1 << 20
 
 
-def lag_pairs(traj: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], max_lag: int) -> DataFrame:
-    """All pairs of rows of one track that lie 1..max_lag frames apart: keys, ``lag``, ``d_<value>``.
+def _pair_sums(keys: list[str], values: list[str], max_lag: int):
+    """Per segment (one block of one track) and lag: pairs of rows, sums of their differences and of the squares.
 
-    A row meets the rows of its own block of ``max_lag`` frames and of the next one only, so a track of any length
-    costs at most 2 * max_lag candidates a row and spreads over many tasks.
+    A row of lag 0 carries the segment's own first and last frame and number of rows.
     """
-    keys, values = list(keys), list(values)
-    blk = F.floor(F.col(time) / F.lit(max_lag)).cast("bigint")
-    a = traj.select(*keys, F.col(time).alias("_ta"), blk.alias("_b"), *[F.col(v).alias(f"_a{i}") for i, v in enumerate(values)])
-    b = traj.select(*keys, F.col(time).alias("_tb"), F.explode(F.array(blk, blk - 1)).alias("_b"), *[F.col(v).alias(f"_b{i}") for i, v in enumerate(values)])
-    lag = F.col("_tb") - F.col("_ta")
-    pairs = a.join(b, [*keys, "_b"]).where((lag > 0) & (lag <= max_lag))
-    return pairs.select(*keys, lag.alias("lag"), *[(F.col(f"_b{i}") - F.col(f"_a{i}")).alias(f"d_{v}") for i, v in enumerate(values)])
+
+    def one(tab: pa.Table, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+        frame, own = tab["frame"].to_numpy(), tab["own"].to_numpy(zero_copy_only=False)
+        seg = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, tab.num_rows]))
+        v = [tab[c].to_numpy() for c in values]
+        width = max_lag + 1
+        sums = np.zeros((1 + 2 * len(v), len(heads) * width))
+        a, step = np.flatnonzero(own), 0
+        while len(a):
+            step += 1
+            a = a[a + step < len(frame)]
+            b = a + step
+            lag = frame[b] - frame[a]
+            near = (seg[a] == seg[b]) & (lag <= max_lag)  # frames ascend: a row past its last partner has none farther on
+            a, b, lag = a[near], b[near], lag[near]
+            some = lag > 0
+            cell = seg[a[some]] * width + lag[some]
+            sums[0] += np.bincount(cell, minlength=sums.shape[1])
+            for i, x in enumerate(v):
+                d = x[b[some]] - x[a[some]]
+                sums[1 + 2 * i] += np.bincount(cell, weights=d, minlength=sums.shape[1])
+                sums[2 + 2 * i] += np.bincount(cell, weights=d * d, minlength=sums.shape[1])
+        cell = np.flatnonzero(sums[0])
+        mine = np.flatnonzero(own)
+        head = np.unique(seg[mine], return_index=True)
+        tail = np.r_[head[1][1:], len(mine)] - 1
+        of, n, none = head[0], len(cell), len(head[0])
+        cols = [pa.concat_arrays([tab[k].combine_chunks().take(pa.array(heads[cell // width])), tab[k].combine_chunks().take(pa.array(heads[of]))]) for k in keys]
+        cols += [pa.array(np.r_[cell % width, np.zeros(none, dtype=np.int64)]), pa.array(np.r_[sums[0][cell].astype(np.int64), np.zeros(none, dtype=np.int64)])]
+        cols += [pa.array(np.r_[x[cell], np.zeros(none)]) for x in sums[1:]]
+        blank = pa.nulls(n, pa.int64())
+        cols += [pa.concat_arrays([blank, pa.array(x)]) for x in (frame[mine[head[1]]], frame[mine[tail]], tail - head[1] + 1)]
+        names = [*keys, "lag", "n", *[f"{k}{i}" for i in range(len(v)) for k in "sq"], "first", "last", "rows"]
+        yield from pa.table(cols, names=names).to_batches(max_chunksize=65_536)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, held = [], 0
+
+        def whole(tab: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal rest, held
+            heads = first_rows(tab, ["seg", *keys])
+            stop = tab.num_rows if last else int(heads[-1])
+            use = heads if last else heads[:-1]
+            many = max(1, CELLS // (max_lag + 1))
+            for k in range(0, len(use), many):
+                lo, hi = int(use[k]), int(use[k + many]) if k + many < len(use) else stop
+                yield from one(tab.slice(lo, hi - lo), use[k : k + many] - lo)
+            tab = tab.slice(stop)
+            rest, held = tab.to_batches(), tab.num_rows
+
+        for b in batches:
+            rest.append(b)
+            held += b.num_rows
+            if held >= CHUNK:
+                yield from whole(pa.Table.from_batches(rest).combine_chunks(), False)
+        if held:
+            yield from whole(pa.Table.from_batches(rest).combine_chunks(), True)
+
+    return run
+
+
+def lag_sums(traj: DataFrame, keys: Sequence[str], values: Sequence[str], max_lag: int, block: int = BLOCK) -> DataFrame:
+    """Per track and lag 1..min(max_lag, frames spanned - 1): ``n`` pairs of rows so far apart, ``s<i>`` and ``q<i>``, the sums of
+    their differences and squared differences in value i, and the track's ``_span`` and ``_n``.
+
+    Tracks are cut into blocks of frames that carry the ``max_lag`` frames after them, so long tracks spread over tasks;
+    a task forms its pairs in arrays, and only sums per track, block and lag leave it. Rows with a NULL key or frame are dropped.
+    """
+    keys, values, block = list(keys), list(values), max(block, max_lag)
+    ks, vs = [f"k{i}" for i in range(len(keys))], [f"v{i}" for i in range(len(values))]
+    blk = F.floor(F.col("frame") / F.lit(block)).cast("bigint")
+    at = F.array(blk, F.when(F.col("frame") - blk * block < max_lag, blk - 1))
+    src = traj.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], F.col("frame").cast("bigint").alias("frame"), *[F.col(v).cast("double").alias(a) for v, a in zip(values, vs)])
+    src = src.dropna(subset=[*ks, "frame"])
+    rows = src.withColumn("_b", F.explode(F.filter(at, lambda b: b.isNotNull()))).withColumn("own", F.col("_b") == blk)
+    rows = rows.withColumn("seg", F.xxhash64(*ks, "_b")).repartition("seg").sortWithinPartitions("seg", *ks, "_b", "frame").drop("_b")
+    sums = [T.StructField(f"{k}{i}", T.DoubleType()) for i in range(len(vs)) for k in "sq"]
+    fields = [T.StructField(a, traj.schema[k].dataType) for k, a in zip(keys, ks)] + [T.StructField(c, T.LongType()) for c in ("lag", "n")] + sums
+    fields += [T.StructField(c, T.LongType()) for c in ("first", "last", "rows")]
+    part = rows.mapInArrow(_pair_sums(ks, vs, max_lag), T.StructType(fields)).repartition(*ks)
+    total = [F.sum(c).alias(c) for c in ("n", *[f.name for f in sums])]
+    w = W.partitionBy(*ks)
+    g = part.groupBy(*ks, "lag").agg(*total, F.min("first").alias("first"), F.max("last").alias("last"), F.sum("rows").alias("rows"))
+    g = g.withColumns({"_span": F.max("last").over(w) - F.min("first").over(w) + 1, "_n": F.max("rows").over(w)})
+    # the row of lag 0 stands for all lags of the track, those without a pair included
+    lags = F.when(F.col("lag") > 0, F.array("lag")).when(F.col("_span") > 1, F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(max_lag).cast("bigint"), F.col("_span") - 1)))
+    full = g.withColumn("lag", F.explode(lags)).groupBy(*ks, "lag").agg(*total, F.max("_span").alias("_span"), F.max("_n").alias("_n"))
+    return full.select(*[F.col(a).alias(k) for k, a in zip(keys, ks)], "lag", "n", *[f.name for f in sums], "_span", "_n")
 
 
 def effective_n(n: Column, t: Column) -> Column:
@@ -53,13 +141,10 @@ def msd(traj: DataFrame, mpp: float, fps: float, max_lagtime: int = 100, keys: S
     keys, pos = list(keys), list(pos)
     need(traj, *keys, "frame", *pos)
     t = traj.where(present(*pos)).select(*keys, "frame", *[(F.col(p) * F.lit(float(mpp))).alias(p) for p in pos])
-    span = t.groupBy(*keys).agg((F.max("frame") - F.min("frame") + 1).alias("_span"), F.count(F.lit(1)).alias("_n"))
-    lags = span.where("_span > 1").withColumn("lag", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(max_lagtime).cast("bigint"), F.col("_span") - 1))))
-    stats = lag_pairs(t, keys, "frame", pos, max_lagtime).groupBy(*keys, "lag").agg(
-        *[F.avg(f"d_{p}").alias(f"<{p}>") for p in pos], *[F.avg(F.col(f"d_{p}") * F.col(f"d_{p}")).alias(f"<{p}^2>") for p in pos]
-    )
-    total = sum((F.col(f"<{p}^2>") for p in pos[1:]), F.col(f"<{pos[0]}^2>"))
-    d = lags.join(stats, [*keys, "lag"], "left").withColumn("msd", total)
+    per = lag_sums(t, keys, pos, max_lagtime)
+    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    d = per.withColumns({**{f"<{p}>": mean(f"s{i}") for i, p in enumerate(pos)}, **{f"<{p}^2>": mean(f"q{i}") for i, p in enumerate(pos)}})
+    d = d.withColumn("msd", sum((F.col(f"<{p}^2>") for p in pos[1:]), F.col(f"<{pos[0]}^2>")))
     d = d.withColumn("_raw", effective_n(F.col("_span"), F.col("lag")) * F.col("_n") / F.col("_span"))
     d = d.withColumn("_n0", F.when(F.col("msd").isNull(), F.lit(0.0)).otherwise(F.col("_raw")))
     w = W.partitionBy(*keys)

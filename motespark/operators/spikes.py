@@ -7,12 +7,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motespark.common import need, present, small_side
+from motespark.common import first_rows, need, present, small_side
 
 BLOCK = 65_536
 CHUNK = 100_000
@@ -279,18 +278,6 @@ def contiguous(t: np.ndarray, source: np.ndarray, gap: int) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _heads(tab: pa.Table, names: list[str]) -> np.ndarray:
-    """First rows of the stretches of equal values in the named columns, none of which holds NULL."""
-    n = tab.num_rows
-    new = np.ones(n, dtype=bool)
-    if n > 1:
-        new[1:] = False
-        for c in names:
-            a = tab[c].combine_chunks()
-            new[1:] |= pc.not_equal(a.slice(1), a.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-    return np.flatnonzero(new)
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables of whole segments (runs of one ``seg``), about CHUNK rows each."""
     rest, held = [], 0
@@ -333,7 +320,7 @@ def _stage(what: str, keys: list[str], values: list[str], opts: dict, names: lis
             if what in ("leaves", "judge"):
                 is_control = tab["t"].is_null().to_numpy()
                 control, tab = tab.filter(pa.array(is_control)), tab.filter(pa.array(~is_control))
-            start = _heads(tab, ["seg", *keys])
+            start = first_rows(tab, ["seg", *keys])
             source = np.repeat(np.arange(len(start)), np.diff(np.r_[start, tab.num_rows]))
             t, pos = tab["t"].to_numpy(), [tab[v].to_numpy() for v in values]
             outside, own = tab["outside"].to_numpy(zero_copy_only=False), tab["own"].to_numpy(zero_copy_only=False)

@@ -75,3 +75,25 @@ def test_filters(spark, rows):
         fl.filter_stubs(t.drop("frame"))
     with pytest.raises(NotImplementedError):
         m.is_localized(None)
+
+
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_lag_sums_brute(spark, block):
+    """Sums of pairs for tracks with gaps, however they are cut into blocks."""
+    rng = np.random.default_rng(4)
+    data = [(p, int(f), float(rng.normal()), float(rng.normal())) for p in range(4) for f in sorted(rng.choice(60, 18, replace=False) - 20)]
+    data += [(9, 5, 1.0, 1.0), (10, 0, 0.0, 0.0), (10, 500, 3.0, 4.0)]
+    df = spark.createDataFrame([*data, (None, 1, 1.0, 1.0)], "particle bigint, frame bigint, x double, y double")
+    got = {(r.particle, r.lag): r for r in m.lag_sums(df, ["particle"], ["x", "y"], 8, block).collect()}
+    for p in (0, 1, 2, 3, 9, 10):
+        own = {f: (x, y) for q, f, x, y in data if q == p}
+        span = max(own) - min(own) + 1
+        for lag in range(1, 9):
+            if lag > span - 1:
+                assert (p, lag) not in got
+                continue
+            d = [(own[f + lag][0] - x, own[f + lag][1] - y) for f, (x, y) in own.items() if f + lag in own]
+            r = got[p, lag]
+            assert (r.n, r._span, r._n) == (len(d), span, len(own))
+            assert (r.s0, r.q1) == pytest.approx((sum(a for a, _ in d), sum(b * b for _, b in d)))
+    assert {p for p, _ in got} == {0, 1, 2, 3, 10}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from motespark.common import need, present
+from motespark.common import cut, need, present
 
 #: bits of one digit: a group's histogram of one digit has at most 2**16 rows
 DIGIT = 16
@@ -80,13 +80,15 @@ def percentiles(dig: DataFrame, groups: Sequence[str], qs: Sequence[float], bits
     top = dig.groupBy(*keys, F.shiftright("bucket", shift[0]).alias("prefix")).agg(F.sum("n").alias("n"))
     run = W.partitionBy(*keys).orderBy("prefix").rowsBetween(W.unboundedPreceding, 0)
     hist = top.withColumns({"upto": F.sum("n").over(run), "all": F.sum("n").over(W.partitionBy(*keys))})
-    target = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.greatest(F.ceil(F.lit(float(q)) * F.col("all")), F.lit(1)).cast("bigint").alias("rank")) for q in qs]))
-    hist = hist.withColumn("t", target).select(*keys, "prefix", "n", "upto", "all", "t.q", "t.rank")
-    active = hist.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))).select(
-        *keys, "q", F.col("all").alias("n_values"), "prefix", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank")
+    targets = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.greatest(F.ceil(F.lit(float(q)) * F.col("all")), F.lit(1)).cast("bigint").alias("rank")) for q in qs])
+    here = F.filter(targets, lambda t: (t["rank"] <= F.col("upto")) & (t["rank"] > F.col("upto") - F.col("n")))  # most digits hold no target
+    active = hist.withColumn("t", F.explode(here)).select(
+        *keys, "t.q", F.col("all").alias("n_values"), "prefix", (F.col("t.rank") - (F.col("upto") - F.col("n"))).alias("rank")
     )
     rows = dig
     for r in range(1, rounds):
+        if rounds > 2:
+            active = cut(active)  # a few rows a group, used twice in every round
         rows = _followed(rows.withColumn("prefix", F.shiftright("bucket", shift[r - 1])), active, [*keys, "prefix"])
         h = rows.groupBy(*keys, "prefix", F.shiftright("bucket", shift[r]).alias("next")).agg(F.sum("n").alias("n"))
         run = W.partitionBy(*keys, "prefix").orderBy("next").rowsBetween(W.unboundedPreceding, 0)

@@ -22,7 +22,7 @@ from motespark.functions.synth import SimulatedImage, draw_array, draw_cluster,
 from motespark.operators.assignment import SubnetOversizeError, UnknownLinkingError
 from motespark.operators.brightfield import brightfield_batch, locate_brightfield_ring
 from motespark.operators.filtering import bust_clusters, bust_ghosts, filter_clusters, filter_stubs, filter_tracks, mass_size_filter, strip_diagnostics, topn, verify_integrity
-from motespark.operators.find_link import FindLinker, find_link
+from motespark.operators.find_link import FindLinker, find_link, find_link_iter
 from motespark.operators.linking import Linker, link, link_candidates, link_df_iter, link_frames, link_partial, link_stateful, reconnect, renumber
 from motespark.operators.locate import batch, characterize, estimate_mass, estimate_size, locate, minmass_v03_change, minmass_v04_change, refine_com
 from motespark.operators.motion import (

@@ -1,3 +1,4 @@
+import itertools
 import warnings
 
 import numpy as np
@@ -8,7 +9,8 @@ from motespark.functions import imageproc as ip
 from motespark.functions import masks, synth
 from motespark.operators import locate as lo
 from motespark.operators.brightfield import brightfield_batch, locate_brightfield_ring
-from motespark.operators.find_link import FindLinker, find_link
+from motespark.operators.find_link import FindLinker, find_link, find_link_iter
+from motespark.operators.predict import DriftPredict
 from motespark.operators.refine_lsq import dimer, refine_batch, refine_leastsq, tetramer, train_leastsq, trimer
 
 
@@ -142,6 +144,59 @@ def test_find_link(spark):
     assert FindLinker(5, 10).diameter % 2 == 1
 
 
+def relinked(rows, shape, remove, reach=12, **kw):
+    """Particles of two drawn frames where the search is made to miss some features of the second one."""
+    truth = pd.DataFrame(rows, columns=["y", "x", "frame", "particle"])
+    images = []
+    for t in (0, 1):
+        im = np.zeros(shape, dtype=np.uint8)
+        for at in truth[truth.frame == t][["y", "x"]].to_numpy():
+            synth.draw_feature(im, at, 3, 200)
+        images.append((t, im))
+    second = truth[truth.frame == 1][["y", "x"]].to_numpy()[list(remove)]
+
+    def miss(t, f):
+        gone = [np.hypot(f.y - y, f.x - x) < 2 for y, x in second] if t == 1 else []
+        return f[~np.logical_or.reduce(gone)].reset_index(drop=True) if gone else f
+
+    parts = [f.assign(frame=t) for t, f in find_link_iter(images, reach, 7, diameter=13, preprocess=False, refine=False, before_link=miss, **kw)]
+    got = pd.concat(parts)
+    where = [np.hypot(got[got.frame == r.frame].y - r.y, got[got.frame == r.frame].x - r.x) for r in truth.itertuples()]
+    assert len(got) == len(truth) and all(w.min() < 2.5 for w in where)
+    return pd.factorize(np.array([int(got[got.frame == r.frame].particle.iloc[w.to_numpy().argmin()]) for r, w in zip(truth.itertuples(), where)]))[0].tolist(), truth.particle.tolist()
+
+
+@pytest.mark.parametrize(
+    ("shape", "rows"),
+    [
+        ((24, 24), [(16, 8, 0, 0), (16, 16, 1, 0)]),
+        ((16, 40), [(8, 8, 0, 0), (8, 16, 1, 0), (8, 24, 0, 1), (8, 32, 1, 1)]),
+        ((16, 40), [(8, 8, 0, 0), (8, 16, 1, 0), (8, 32, 0, 1), (8, 24, 1, 1)]),
+        ((24, 32), [(8, 8, 0, 0), (16, 8, 1, 0), (12, 16, 0, 1), (12, 24, 1, 1)]),
+        ((24, 32), [(8, 8, 0, 0), (8, 16, 1, 0), (16, 16, 0, 1), (16, 24, 1, 1)]),
+        ((24, 48), [(8, 8, 0, 0), (16, 12, 1, 0), (8, 16, 0, 1), (16, 20, 1, 1), (8, 32, 0, 2), (16, 28, 1, 2), (8, 40, 0, 3), (16, 36, 1, 3)]),
+    ],
+)
+def test_find_link_overlaps(shape, rows):
+    """Features of crowded neighbourhoods that the search missed are found and go to the right tracks."""
+    second = [i for i, r in enumerate(r for r in rows if r[2] == 1)]
+    for n in range(len(second) + 1):
+        for remove in itertools.combinations(second, n):
+            got, want = relinked(rows, shape, remove)
+            assert got == want, remove
+
+
+def test_find_link_many_lost():
+    """Of four lost particles around one missed feature the nearest gets it."""
+    cross = [(16, 8, 0, 0), (8, 16, 0, 1), (16, 24, 0, 2), (24, 16, 0, 3)]
+    for k, (y, x) in enumerate([(16, 15), (15, 16), (16, 17), (17, 16)]):
+        got, want = relinked([*cross, (y, x, 1, k)], (32, 32), [0])
+        assert got == want
+    one = [(t, synth.draw_spots((60, 90), [(20, 20 + 12 * t)], 3)) for t in range(4)]
+    drift = list(find_link_iter(one, 5, 10, diameter=9, predictor=DriftPredict(guess=np.array([0.0, 12.0])), before_link=lambda t, f: f.iloc[:0] if t == 3 else f))
+    assert [f.particle.tolist() for _, f in drift] == [[0]] * 4  # looked for where it is expected, not where it was
+
+
 def test_simulated_image():
     s = synth.SimulatedImage((40, 40, 40), 3.0, signal=100, hard_radius=1.5)
     assert s.draw_cluster(4, (20, 20, 20)).shape == (4, 3) and len(s.f()) == 4

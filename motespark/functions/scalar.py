@@ -6,9 +6,11 @@ import math
 import sys
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motespark.common import free_name
+
 
 def extract(pattern: str, string: Column, group: int = 0, convert: str | None = None) -> Column:
     """The regular expression's group, NULL where it doesn't match; ``convert`` names a type to cast to."""
@@ -61,9 +63,11 @@ def safe_exp(x: Column) -> Column:
 
 
 def random_walk(df: DataFrame, order: str, keys: Sequence[str] = (), seed: int = 0, name: str = "walk") -> DataFrame:
-    """Cumulative sum of unit normal steps along ``order``."""
-    w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("_step", F.randn(seed)).withColumn(name, F.sum("_step").over(w)).drop("_step")
+    """Cumulative sum of unit normal steps along ``order``, of any length with or without keys."""
+    from motespark.operators.ordering import running_total
+
+    step = free_name(df, "_step")
+    return running_total(df.withColumn(step, F.randn(seed)), keys, [order], step, name).drop(step)
 
 
 def fit_powerlaw(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataFrame:

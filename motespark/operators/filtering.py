@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from motespark.common import need, present
+from motespark.operators.ordering import quantile as exact_quantile
 
 
 def filter_stubs(tracks: DataFrame, threshold: int = 100, keys: Sequence[str] = ("particle",)) -> DataFrame:
@@ -19,16 +20,14 @@ def filter_stubs(tracks: DataFrame, threshold: int = 100, keys: Sequence[str] =
 
 
 def filter_clusters(tracks: DataFrame, quantile: float = 0.8, threshold: float | None = None, keys: Sequence[str] = ("particle",)) -> DataFrame:
-    """Tracks whose mean ``size`` is below ``threshold``, by default the linear ``quantile`` of all sizes."""
+    """Tracks whose mean ``size`` is below ``threshold``, by default the linear ``quantile`` of all sizes, found first."""
     need(tracks, "size", *keys)
     t = tracks.dropna(subset=list(keys))
     size = F.when(present("size"), F.col("size"))
     mean = t.groupBy(*keys).agg(F.avg(size).alias("_m"))
     if threshold is None:
-        limit = tracks.agg(F.percentile(size, F.lit(quantile)).alias("_q"))
-        small = mean.join(F.broadcast(limit)).where("_m < _q")  # limit is one row
-    else:
-        small = mean.where(F.col("_m") < threshold)
+        threshold = exact_quantile(tracks, size, quantile)
+    small = mean.where(F.col("_m") < threshold) if threshold is not None else mean.limit(0)
     return t.join(small.select(*keys), list(keys), "left_semi")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from motespark.common import cut, free_name, need, present, release
 from motespark.operators.assignment import MAX_NEIGHBORS, MAX_SUBNET, MAX_SUBNET_ADAPTIVE, SLACK, _assign, assign, check_strategy
 from motespark.operators.components import connected_components, roots
+from motespark.operators.ordering import numbered
 from motespark.operators.static import _points, pairs_within
 
 #: a zone, whose links are worked on in one task, is this many search ranges wide and so many frames long
@@ -277,11 +278,10 @@ def link(
 
 
 def renumber(df: DataFrame, groups: Sequence[str], t: str = "frame") -> DataFrame:
-    """``particle`` as 0, 1, ... within the groups, by the order of first appearance."""
+    """``particle`` as 0, 1, ... within the groups, by the order of first appearance; tracks that appear together by their old number."""
     first = df.where("particle is not null").groupBy(*groups, "particle").agg(F.min(t).alias("_t"))
-    w = (W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))).orderBy("_t", "particle")
-    num = first.select(*groups, "particle", (F.row_number().over(w) - 1).cast("bigint").alias("_new"))
-    return df.join(num, [*groups, "particle"], "left").select(*[F.col("_new").alias("particle") if c == "particle" else F.col(c) for c in df.columns])
+    num = numbered(first, groups, ["_t", "particle"], "_new").drop("_t")
+    return _null_safe(df, num, [*groups, "particle"], "left").select(*[F.col("_new").alias("particle") if c == "particle" else F.col(c) for c in df.columns])
 
 
 class Linker:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from motespark.common import first_rows, need, present
 from motespark.operators.intervals import next_reading
+from motespark.operators.ordering import numbered
 
 KEYS = ("particle",)
 XY = ("x", "y")
@@ -328,13 +329,18 @@ def theta_entropy(traj: DataFrame, bins: int = 24, keys: Sequence[str] = KEYS) -
     return c.withColumn("p", p).groupBy(*keys).agg((F.lit(0.0) - F.sum(F.col("p") * F.log("p"))).alias("entropy"))
 
 
-def min_rolling_theta_entropy(traj: DataFrame, window: int = 24, bins: int = 24, keys: Sequence[str] = KEYS) -> DataFrame:
+def min_rolling_theta_entropy(traj: DataFrame, window: int = 24, bins: int = 24, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
     """Least entropy of the directions of any ``window`` consecutive steps; NULL for tracks of fewer steps.
 
-    A track's steps (one small integer each) pass through one sorted window; only ``window`` of them are held.
+    Steps are numbered along their track and cut into blocks of ``block`` steps that carry the ``window`` - 1 steps
+    before them, so a long track spreads over tasks.
     """
-    d = _directions(traj, keys, bins)
-    w = W.partitionBy(*keys).orderBy("frame").rowsBetween(-(window - 1), 0)
+    keys, block = list(keys), max(block, window)
+    d = numbered(_directions(traj, keys, bins), keys, ["frame"], "_k")
+    own = F.floor(F.col("_k") / block).cast("bigint")
+    at = F.array(own, F.when(F.col("_k") % block > block - window, own + 1))
+    d = d.withColumn("_b", F.explode(F.filter(at, lambda b: b.isNotNull())))
+    w = W.partitionBy(*keys, "_b").orderBy("_k").rowsBetween(-(window - 1), 0)
     d = d.withColumn("l", F.collect_list("bin").over(w))
     count = lambda b: F.size(F.filter("l", lambda v: v == b))
     part = F.transform(F.array_distinct("l"), lambda b: -(count(b) / F.lit(window)) * F.log(count(b) / F.lit(window)))

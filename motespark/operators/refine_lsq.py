@@ -110,13 +110,16 @@ class Model:
         unknown = set(self.mode) - set(self.names)
         if unknown:
             raise ValueError(f"unknown parameters {sorted(unknown)}")
+        other = sorted(n for n, v in self.mode.items() if v not in ("const", "var", "cluster"))
+        if other:  # sharing over all clusters isn't built
+            raise ValueError(f"modes of {other}: const, var or cluster")
 
     def pack(self, table: np.ndarray) -> np.ndarray:
         out = []
         for k, n in enumerate(self.names):
             if self.mode[n] == "var":
                 out.append(table[:, k])
-            elif self.mode[n] in ("cluster", "global"):
+            elif self.mode[n] == "cluster":
                 out.append([table[:, k].mean()])
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -126,7 +129,7 @@ class Model:
             if self.mode[name] == "var":
                 out[:, k] = vector[at : at + n]
                 at += n
-            elif self.mode[name] in ("cluster", "global"):
+            elif self.mode[name] == "cluster":
                 out[:, k] = vector[at]
                 at += 1
         return out

@@ -1,3 +1,6 @@
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +8,7 @@ from pyspark.sql import functions as F
 from motespark.common import checkpoint_ready, free_name, small_side
 from motespark.functions import scalar as sc
 from motespark.operators.locate import batch
-from motespark.sources.frames import pixel_table, read_frames
+from motespark.sources.frames import decode, pixel_table, read_frames
 from motespark.sources.framestore import FrameStore
 from motespark.streaming.linker import link_stream
 
@@ -48,6 +51,67 @@ def test_read_frames(spark, tmp_path):
     assert batch(f, 3, separation=3).count() <= 2
 
 
+@pytest.mark.parametrize("kind", ["png", "tiff"])
+@pytest.mark.parametrize("bits", [8, 16, 24])
+def test_image_formats(spark, tmp_path, kind, bits):
+    """Images written by the JVM's own encoders come back as they were."""
+    rng = np.random.default_rng(bits)
+    im = (np.add.outer(np.arange(9), 3 * np.arange(7)) * 5 + rng.integers(0, 9, (9, 7))).astype(np.int64)
+    im = im * 200 if bits == 16 else im
+    jvm = spark._jvm
+    kinds = jvm.java.awt.image.BufferedImage
+    img = kinds(7, 9, {8: kinds.TYPE_BYTE_GRAY, 16: kinds.TYPE_USHORT_GRAY, 24: kinds.TYPE_INT_RGB}[bits])
+    for y in range(9):
+        for x in range(7):
+            for band in range(3 if bits == 24 else 1):
+                img.getRaster().setSample(x, y, band, int(im[y, x]) // (band + 1))
+    file = tmp_path / f"img_3.{kind}"
+    assert jvm.javax.imageio.ImageIO.write(img, kind, jvm.java.io.File(str(file)))
+    got = decode(file.read_bytes())
+    assert len(got) == 1 and got[0].dtype == (np.uint16 if bits == 16 else np.uint8)
+    want = im if bits < 24 else np.rint(im * 0.2125 + (im // 2) * 0.7154 + (im // 3) * 0.0721)
+    assert (got[0] == want).all()
+    row = read_frames(spark, str(tmp_path)).first()
+    assert row.frame == 3 and tuple(row.shape) == (9, 7)
+
+
+def test_image_files_by_hand(spark, tmp_path):
+    """Every line filter of PNG, pages and deflated strips of TIFF; and what isn't an image."""
+    rng = np.random.default_rng(1)
+    im = rng.integers(0, 256, (6, 5), dtype=np.uint8)
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    left, up = np.pad(im, ((0, 0), (1, 0)))[:, :-1].astype(int), np.pad(im, ((1, 0), (0, 0)))[:-1].astype(int)
+    corner = np.pad(im, ((1, 0), (1, 0)))[:-1, :-1].astype(int)
+    p = left + up - corner
+    near = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+    rules = [0 * left, left, up, (left + up) // 2, near, near]
+    lines = b"".join(bytes([min(y, 4)]) + (im[y].astype(int) - rules[y][y]).astype(np.uint8).tobytes() for y in range(6))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 6, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    assert (decode(png)[0] == im).all()
+
+    pages, body = [im.astype("<f4"), (im * 2.5).astype("<f4")], b""
+    at = 8
+    for k, page in enumerate(pages):
+        strip = zlib.compress(page.tobytes())
+        tags = [(256, 3, 5), (257, 3, 6), (258, 3, 32), (259, 3, 8), (273, 4, at), (277, 3, 1), (278, 3, 6), (279, 4, len(strip)), (339, 3, 3)]
+        entry = at + len(strip)
+        after = entry + 2 + 12 * len(tags) + 4
+        head = struct.pack("<I", entry) if k == 0 else b""
+        body += strip + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, f, 1, v) for t, f, v in tags)
+        following = after + len(zlib.compress(pages[1].tobytes()))
+        body += struct.pack("<I", following if k == 0 else 0)
+        first, at = (head if k == 0 else first), after
+    got = decode(b"II*\0" + first + body)
+    assert len(got) == 2 and all((a == b).all() for a, b in zip(got, pages))
+    (tmp_path / "stack_4.tif").write_bytes(b"II*\0" + first + body)
+    assert sorted(r.frame for r in read_frames(spark, str(tmp_path)).collect()) == [4, 5]
+    with pytest.raises(ValueError):
+        decode(b"GIF89a")
+
+
 def test_stream(spark, tmp_path):
     def write(n, data):
         spark.createDataFrame(data, P).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

@@ -37,5 +37,5 @@ FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""",
     "p7_check": """
 SELECT limit_id, 0::BIGINT AS overfull, 0::BIGINT AS mixed, 0::BIGINT AS above_best_fit, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS cut, 0::BIGINT AS short FROM pack_limits""",
     "p8_check": """
-SELECT source, CAST(max_repeats AS BIGINT) AS max_repeats, round(target_share, 6) AS target_share, 0::BIGINT AS too_often, 0::BIGINT AS foreign, 0::BIGINT AS twice, 1::BIGINT AS met FROM mix_targets""",
+SELECT source, CAST(max_repeats AS BIGINT) AS max_repeats, round(target_share, 6) AS target_share, 0::BIGINT AS too_often, 0::BIGINT AS foreign, 0::BIGINT AS twice, CAST(source IN (SELECT source FROM documents WHERE source IS NOT NULL AND length(text) > 0) AS BIGINT) AS met FROM mix_targets""",
 }

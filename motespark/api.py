@@ -1,6 +1,6 @@
 """The public names of the core in one place."""
 
-from motespark.functions.diag import dependencies, performance_report
+from motespark.functions.diag import dependencies, handle_logging, ignore_logging, performance_report, quiet
 from motespark.functions.imageproc import (
     bandpass,
     boxcar,
@@ -49,7 +49,7 @@ from motespark.operators.refine_lsq import dimer, dimer_global, refine_batch, re
 from motespark.operators.regular_grid import to_regular_grid
 from motespark.operators.rolling import rolling
 from motespark.operators.spikes import flag_readings
-from motespark.operators.static import cluster, drop_close, pair_correlation_2d, pair_correlation_3d, proximity, where_close
+from motespark.operators.static import cluster, cluster_iter, drop_close, pair_correlation_2d, pair_correlation_3d, proximity, where_close
 from motespark.operators.uncertainty import static_error
 from motespark.sources.frames import pixel_table, read_frames
 from motespark.sources.framestore import FrameStore

@@ -90,6 +90,16 @@ def release(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file in whatever file system the path names; one that is there is replaced."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def first_rows(tab: pa.Table, names: Sequence[str]) -> np.ndarray:
     """First rows of the stretches of a table that are equal in the named columns, which hold no NULL."""
     n = tab.num_rows

@@ -122,7 +122,7 @@ def where_close(pos: np.ndarray, separation, intensity=None) -> np.ndarray:
     if (sep == 0).any():
         return np.zeros(0, dtype=int)
     p = np.asarray(pos, dtype=float) / sep
-    s, t, d = neighbours(p, p, 1.0, most=1 << 62)
+    s, t, d = neighbours(p, p, 1.0, most=None)
     ok = (s < t) & (d <= 1 - 1e-7)
     a, b = s[ok], t[ok]
     total = p.sum(axis=1)
@@ -176,7 +176,9 @@ def grey_dilation_legacy(image: np.ndarray, separation, percentile: float = 64,
     return grey_dilation(image, separation, percentile, margin, False, True)
 
 
-local_maxima = grey_dilation
+def local_maxima(image: np.ndarray, radius, percentile: float = 64, margin=None) -> np.ndarray:
+    """Maxima within an ellipse of ``radius``, the least distance between two of them, at least ``margin`` (the radius) from the border."""
+    return grey_dilation_legacy(image, radius, percentile, margin)
 
 
 def measure_noise(image_bp: np.ndarray, image_raw: np.ndarray, radius) -> tuple[float, float]:

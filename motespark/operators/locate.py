@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from motespark.common import write_text
 from motespark.functions import imageproc as ip
 from motespark.functions.masks import binary_mask, cosmask, n_binary_mask, r_squared_mask, sinmask, x_squared_masks
 from motespark.functions.scalar import validate_tuple
@@ -180,11 +180,11 @@ def batch(frames: DataFrame, diameter, keys: tuple[str, ...] = ("frame",), colum
     """``locate`` on every packed frame (columns ``keys``, ``shape``, ``dtype``, ``data``): one feature a row.
 
     Frames are read, filtered and searched within one task each, without a shuffle. ``after_locate(frame, features)``
-    may change a frame's features. ``meta`` names a file to which the parameters are written. Frames that are NULL or
+    may change a frame's features. ``meta`` names a file, in any file system that Spark knows, to which the parameters are written. Frames that are NULL or
     hold nothing give no rows.
     """
     if meta:
-        Path(meta).write_text(json.dumps({"diameter": diameter, **{k: str(v) for k, v in options.items()}}, indent=1))
+        write_text(frames.sparkSession, meta, json.dumps({"diameter": diameter, **{k: str(v) for k, v in options.items()}}, indent=1))
     keys = list(keys)
     kinds = dict(frames.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *[f"`{c}` double" for c in columns]])

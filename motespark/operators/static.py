@@ -7,14 +7,17 @@ Distances are found by hashing points to grid cells and joining cells, in two or
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations, product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motespark.common import cut, need, present
-from motespark.operators.components import connected_components
+from motespark.operators.assignment import neighbours
+from motespark.operators.components import connected_components, roots
 
 #: side of a region whose close pairs meet in one task, in separations
 TILE = 64.0
@@ -236,6 +239,22 @@ def cluster(df: DataFrame, groups: Sequence[str], ident: str, separation: float
     return out.select(*df.columns, F.coalesce("component", F.col(ident)).alias("cluster"), F.coalesce("_size", F.lit(1)).cast("bigint").alias("cluster_size"))
 
 
+def cluster_iter(tables: Iterable[pd.DataFrame], separation: float | Sequence[float], pos: Sequence[str] = ("y", "x")) -> Iterator[pd.DataFrame]:
+    """The tables of a stream, one for each frame, with ``cluster`` and ``cluster_size``.
+
+    Clusters are numbered from 0 through the whole stream, by their first row. A missing position is a cluster of its own.
+    """
+    pos, next_ = list(pos), 0
+    for f in tables:
+        at = f[pos].to_numpy(dtype=float) / np.asarray(separation, dtype=float)
+        ok = np.flatnonzero(np.isfinite(at).all(axis=1))
+        a, b, d = neighbours(at[ok], at[ok], 1.0, None)
+        near = d <= 1.0
+        _, number, size = np.unique(roots(ok[a[near]], ok[b[near]], len(f)), return_inverse=True, return_counts=True)
+        yield f.assign(cluster=number + next_, cluster_size=size[number])
+        next_ += len(size)
+
+
 def where_close(df: DataFrame, groups: Sequence[str], ident: str, separation: float | Sequence[float], pos: Sequence[str] = ("y", "x"), intensity: str | None = None) -> DataFrame:
     """Idents to drop: of every pair closer than ``separation`` the dimmer, of equals the one of smaller coordinate sum, then of greater ident."""
     pos, groups = list(pos), list(groups)

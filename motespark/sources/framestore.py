@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motespark.common import write_text
+
 
 class FrameStore:
     """A Parquet folder of features, partitioned by frame, so that one frame or the first N prune to their files.
@@ -67,10 +69,13 @@ class FrameStore:
 
     @property
     def frames(self) -> list[int]:
-        """Frame numbers, as the folder's names have them."""
+        """Frame numbers, as the names of the partition folders have them; no file is read."""
         if not self._exists():
             return []
-        return sorted(r[0] for r in self.all().select(self.t_column).distinct().collect())
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        start = f"{self.t_column}="
+        names = [s.getPath().getName() for s in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)]
+        return sorted(int(n[len(start) :]) for n in names if n.startswith(start) and n[len(start) :].lstrip("-").isdigit())
 
     @property
     def max_frame(self) -> int:
@@ -91,8 +96,7 @@ class FrameStore:
 
     def record_meta(self, meta: dict) -> None:
         """Keep call parameters beside the features."""
-        rdd = self.spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string")
-        rdd.coalesce(1).write.mode("overwrite").text(f"{self.path}/_meta")
+        write_text(self.spark, f"{self.path}/_meta.json", json.dumps(meta, default=str))
 
     def sink(self):
         """A function for ``foreachBatch``."""

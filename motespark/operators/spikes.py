@@ -240,6 +240,7 @@ class Readings:
         self.held = np.zeros(n, dtype=bool)
         for place, length in runs:
             self.held |= (place > 0) & (length > 2)
+        self.held &= sum(repeats) >= 3  # two repeats of one value happen by chance
         self.far = np.where(self.moving, _excursions(t, pos, seg, scale, self.held | outside, opts["close"], opts["within"]), 0.0)
         around = []
         for p in pos:
@@ -398,7 +399,7 @@ def flag_readings(
     - ``spike``: score of at least ``threshold``, and the reading lies in an excursion of more than ``far`` usual steps
       that comes back. A move that lasts is no spike.
     - ``stuck``: score of at least ``threshold``, and the reading is a later one of a run of three or more that lie
-      within ``tolerance`` usual steps of the run's first, in any value.
+      within ``tolerance`` usual steps of the run's first, in any value, with three repeats or more over all values.
     - ``outside``: the physical-limit rule ``impossible`` (a condition on ``df``'s columns) holds.
 
     Readings of a source more than ``gap`` time steps apart aren't compared. A source of more than ``block`` time

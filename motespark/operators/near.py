@@ -62,7 +62,11 @@ def near_pairs(df: DataFrame, groups: Sequence[str], ident: str, x: str, y: str,
     b = home.select(*gs, "cx", "cy", F.col("id").alias("ib"), F.col("px").alias("bx"), F.col("py").alias("by"))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
     d2 = dx * dx + dy * dy
-    pairs = a.join(b, [*gs, "cx", "cy"]).where((F.col("ia") != F.col("ib")) & (~F.col("own") | (F.col("ia") < F.col("ib"))) & (d2 <= F.lit(radius * radius)))
+    # never NULL, but compared null-safe, which puts no filter of its own on one side: both sides read one shuffle
+    on = F.lit(True)
+    for c in [*gs, "cx", "cy"]:
+        on = on & a[c].eqNullSafe(b[c])
+    pairs = a.join(b, on).drop(*[b[c] for c in (*gs, "cx", "cy")]).where((F.col("ia") != F.col("ib")) & (~F.col("own") | (F.col("ia") < F.col("ib"))) & (d2 <= F.lit(radius * radius)))
     return pairs.select(
         *[F.col(g).alias(n) for g, n in zip(gs, groups)], F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), F.sqrt(d2).alias("distance")
     )

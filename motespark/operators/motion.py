@@ -132,12 +132,19 @@ def effective_n(n: Column, t: Column) -> Column:
     return F.when(t > n / 2, long).otherwise(short)
 
 
-def msd(traj: DataFrame, mpp: float, fps: float, max_lagtime: int = 100, keys: Sequence[str] = KEYS, pos: Sequence[str] = XY) -> DataFrame:
+def _ratio(a: Column, b: Column, undefined: float | None) -> Column:
+    """a / b, with ``undefined`` for 0 / 0 and for a missing side."""
+    return F.coalesce(F.try_divide(a, b), F.lit(undefined).cast("double"))
+
+
+def msd(traj: DataFrame, mpp: float, fps: float, max_lagtime: int = 100, keys: Sequence[str] = KEYS, pos: Sequence[str] = XY, undefined: float | None = None) -> DataFrame:
     """Mean displacement and mean squared displacement of every track at every lag.
 
     One row for each track and lag 1..min(max_lagtime, frames spanned - 1): ``<p>``, ``<p^2>`` for each position
     column, ``msd`` (NULL where no two frames lie so far apart), ``N`` (effective measurements, 0 where msd is NULL and
     rescaled to keep the track's total) and ``lagt`` in seconds. Rows with a missing position aren't observations.
+    A track without any two frames that lie ``max_lagtime`` or less apart has nothing to carry its total: its N is
+    ``undefined``, NULL or NaN.
     """
     keys, pos = list(keys), list(pos)
     need(traj, *keys, "frame", *pos)
@@ -149,7 +156,7 @@ def msd(traj: DataFrame, mpp: float, fps: float, max_lagtime: int = 100, keys: S
     d = d.withColumn("_raw", effective_n(F.col("_span"), F.col("lag")) * F.col("_n") / F.col("_span"))
     d = d.withColumn("_n0", F.when(F.col("msd").isNull(), F.lit(0.0)).otherwise(F.col("_raw")))
     w = W.partitionBy(*keys)
-    d = d.withColumn("N", F.col("_n0") * F.sum("_raw").over(w) / F.sum("_n0").over(w))
+    d = d.withColumn("N", _ratio(F.col("_n0") * F.sum("_raw").over(w), F.sum("_n0").over(w), undefined))
     return d.select(*keys, "lag", *[f"<{p}>" for p in pos], *[f"<{p}^2>" for p in pos], "msd", "N", (F.col("lag") / F.lit(float(fps))).alias("lagt"))
 
 
@@ -162,15 +169,17 @@ def imsd(traj: DataFrame, mpp: float, fps: float, max_lagtime: int = 100, statis
     return out.groupBy(*rest, "lagt").pivot(last).agg(F.first(f"`{statistic}`"))
 
 
-def emsd(traj: DataFrame, mpp: float, fps: float, max_lagtime: int = 100, detail: bool = False, keys: Sequence[str] = KEYS, groups: Sequence[str] = (), pos: Sequence[str] = XY, compat: bool = False) -> DataFrame:
+def emsd(traj: DataFrame, mpp: float, fps: float, max_lagtime: int = 100, detail: bool = False, keys: Sequence[str] = KEYS, groups: Sequence[str] = (), pos: Sequence[str] = XY, compat: bool = False, undefined: float | None = None) -> DataFrame:
     """Ensemble mean squared displacement by lag: groups, ``lag``, ``lagt``, ``msd``; with ``detail`` all means and N.
 
-    Tracks weigh in with N. ``compat`` keeps a peculiar rule for means with NULL entries: they are left out of the
+    Tracks weigh in with N. Those without any pair of frames within the lags are left out, and the mean is NULL at a lag
+    that no track has a pair for. With ``undefined`` NaN, 0 / 0 counts as in SQL on doubles: such a lag is NaN, and such a
+    track makes its whole group NaN at all of the track's lags. ``compat`` keeps a peculiar rule for means with NULL entries: they are left out of the
     numerator's mean but not of the denominator's.
     """
-    d = msd(traj, mpp, fps, max_lagtime, [*groups, *keys], pos)
+    d = msd(traj, mpp, fps, max_lagtime, [*groups, *keys], pos, undefined)
     means = [f"<{p}>" for p in pos] + [f"<{p}^2>" for p in pos]
-    weighted = lambda c: F.sum(F.coalesce(c, F.lit(0.0)) * F.col("N")) / F.sum("N")
+    weighted = lambda c: _ratio(F.sum(F.coalesce(c, F.lit(0.0)) * F.col("N")), F.sum("N"), undefined)
     aggs = [weighted(F.col("msd")).alias("msd")]
     if detail:
         quirk = F.count(F.lit(1))

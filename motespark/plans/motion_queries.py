@@ -15,6 +15,8 @@ from motespark.plans.sqlutil import OK, r6
 
 MPP, FPS, LAGS = 0.25, 24.0, 20
 K, G = ["particle"], ["video_id"]
+#: 0 / 0 of doubles in the SQL of these queries; the operators' own default is NULL
+NAN = float("nan")
 
 
 def tracks(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +52,7 @@ def imsd(spark, d):
 
 
 def emsd(spark, d):
-    return _r(m.emsd(tracks(spark, d), MPP, FPS, LAGS, groups=G))
+    return _r(m.emsd(tracks(spark, d), MPP, FPS, LAGS, groups=G, undefined=NAN))
 
 
 def emsd_detail(spark, d):

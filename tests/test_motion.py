@@ -44,6 +44,56 @@ def test_msd_units_and_missing(spark):
     assert m.msd(t.limit(0), 1, 1).count() == 0
 
 
+def sparse_track():
+    """Movie 1: a walker and a track whose two frames lie beyond every lag. Movie 2: only such a track. Movie 3: even frames only. Movie 4: a walker."""
+    walk = lambda v, step=1: [(v, 1, f, float(f * f % 13), float(3 * f % 7)) for f in range(0, 40, step)]
+    gap = lambda v: [(v, 2, 5, 1.0, 2.0), (v, 2, 60, 3.0, 4.0)]
+    return walk(1) + gap(1) + gap(2) + walk(3, 2) + walk(4)
+
+
+@pytest.fixture(scope="module")
+def sparse(spark):
+    return spark.createDataFrame(sparse_track(), "video_id bigint, particle bigint, frame bigint, x double, y double")
+
+
+@pytest.fixture
+def sparse_same(spark, sparse, tmp_path):
+    """Compares a query with its SQL on the sparse tracks, NULL and NaN kept apart."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    def check(name):
+        sparse.write.parquet(str(tmp_path / "traj.parquet"))
+        got = entry.queries()[name](spark, str(tmp_path))
+        con = duckdb.connect()
+        con.sql(f"create view traj as select * from '{tmp_path}/traj.parquet/*.parquet'")
+        want = con.sql(entry.oracle_sql()[name])
+        ids = [c for c in ("video_id", "particle", "lag") if c in want.columns]
+        assert sorted(got.columns) == sorted(want.columns)
+        cols = ids + sorted(set(want.columns) - set(ids))
+        key = lambda r: r[: len(ids)]
+        a = sorted((tuple(r) for r in got.select(*cols).collect()), key=key)
+        b = sorted(want.project(", ".join(cols)).fetchall(), key=key)
+        kind = lambda t: [tuple(None if v is None else v if v == v else "nan" for v in r) for r in t]
+        for x, y in zip(kind(a), kind(b), strict=True):
+            assert x == pytest.approx(y, abs=2e-6), (x, y)
+
+    return check
+
+
+def test_emsd_leaves_out_tracks_without_pairs(sparse, rows):
+    got = rows(m.emsd(sparse, 1, 1, 20, groups=["video_id"]), "video_id", "lag", "msd")
+    by = {v: {lag: msd for g, lag, msd in got if g == v} for v in (1, 2, 3, 4)}
+    assert by[1] == by[4] and None not in by[1].values()
+    assert set(by[2].values()) == {None} and len(by[2]) == 20
+    assert all((msd is None) == (lag % 2 == 1) for lag, msd in by[3].items()) and len(by[3]) == 20
+
+
+def test_emsd_of_sparse_tracks_as_sql(sparse_same):
+    sparse_same("emsd")
+
+
 def test_many_walks(spark):
     rng = np.random.RandomState(0)
     data = [(f, p, float(x), float(y)) for p in range(50) for f, (x, y) in enumerate(np.cumsum(rng.randn(10, 2), axis=0))]

@@ -182,11 +182,11 @@ def emsd(traj: DataFrame, mpp: float, fps: float, max_lagtime: int = 100, detail
     weighted = lambda c: _ratio(F.sum(F.coalesce(c, F.lit(0.0)) * F.col("N")), F.sum("N"), undefined)
     aggs = [weighted(F.col("msd")).alias("msd")]
     if detail:
-        quirk = F.count(F.lit(1))
+        quirk = F.count("N")
         for m in means:
             c = F.col(f"`{m}`")
-            aggs.append((weighted(c) * quirk / F.count(c) if compat else weighted(c)).alias(m))
-        aggs.append(F.sum("N").alias("N"))
+            aggs.append((_ratio(weighted(c) * quirk, F.count(c), undefined) if compat else weighted(c)).alias(m))
+        aggs.append(F.coalesce(F.sum("N"), F.lit(0.0)).alias("N"))
     return d.groupBy(*groups, "lag").agg(F.first("lagt").alias("lagt"), *aggs)
 
 

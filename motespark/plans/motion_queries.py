@@ -56,7 +56,7 @@ def emsd(spark, d):
 
 
 def emsd_detail(spark, d):
-    return _r(m.emsd(tracks(spark, d), MPP, FPS, LAGS, detail=True, groups=G).withColumnRenamed("N", "n_eff"), **STAT)
+    return _r(m.emsd(tracks(spark, d), MPP, FPS, LAGS, detail=True, groups=G, undefined=NAN).withColumnRenamed("N", "n_eff"), **STAT)
 
 
 def emsd_powerlaw(spark, d):

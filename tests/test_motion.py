@@ -94,6 +94,19 @@ def test_emsd_of_sparse_tracks_as_sql(sparse_same):
     sparse_same("emsd")
 
 
+def test_emsd_detail_of_sparse_tracks_as_sql(sparse_same):
+    sparse_same("emsd_detail")
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_emsd_detail_leaves_out_tracks_without_pairs(sparse, rows, compat):
+    got = rows(m.emsd(sparse, 1, 1, 20, detail=True, groups=["video_id"], compat=compat), "video_id", "lag", "`<x>`", "`<y^2>`", "msd", "N")
+    by = {v: {r[1]: r[2:] for r in got if r[0] == v} for v in (1, 2, 3, 4)}
+    assert by[1] == by[4] and None not in by[1][20]
+    assert set(by[2].values()) == {(None, None, None, 0.0)} and len(by[2]) == 20
+    assert all((r == (None, None, None, 0.0)) == (lag % 2 == 1) for lag, r in by[3].items()) and len(by[3]) == 20
+
+
 def test_many_walks(spark):
     rng = np.random.RandomState(0)
     data = [(f, p, float(x), float(y)) for p in range(50) for f, (x, y) in enumerate(np.cumsum(rng.randn(10, 2), axis=0))]

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motespark.common import present, rounded, table
+from motespark.common import clean, present, rounded, table
 from motespark.functions.scalar import fit_powerlaw
 from motespark.operators import filtering as fl
 from motespark.operators import motion as m
@@ -60,7 +60,8 @@ def emsd_detail(spark, d):
 
 
 def emsd_powerlaw(spark, d):
-    return _r(fit_powerlaw(m.emsd(tracks(spark, d), MPP, FPS, LAGS, groups=G), "lagt", "msd", G), A="a")
+    fit = fit_powerlaw(m.emsd(tracks(spark, d), MPP, FPS, LAGS, groups=G, undefined=NAN), "lagt", "msd", G)
+    return _r(clean(fit, "A"), A="a")  # SQL's intercept is NULL where its slope is NaN
 
 
 def drift(spark, d):

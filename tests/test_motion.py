@@ -107,6 +107,10 @@ def test_emsd_detail_leaves_out_tracks_without_pairs(sparse, rows, compat):
     assert all((r == (None, None, None, 0.0)) == (lag % 2 == 1) for lag, r in by[3].items()) and len(by[3]) == 20
 
 
+def test_emsd_powerlaw_of_sparse_tracks_as_sql(sparse_same):
+    sparse_same("emsd_powerlaw")
+
+
 def test_many_walks(spark):
     rng = np.random.RandomState(0)
     data = [(f, p, float(x), float(y)) for p in range(50) for f, (x, y) in enumerate(np.cumsum(rng.randn(10, 2), axis=0))]

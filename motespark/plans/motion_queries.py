@@ -44,7 +44,7 @@ STAT = {"<x>": "mean_x", "<y>": "mean_y", "<x^2>": "mean_x2", "<y^2>": "mean_y2"
 
 
 def msd_detail(spark, d):
-    return _r(m.msd(tracks(spark, d), MPP, FPS, LAGS, [*G, *K]).withColumnRenamed("N", "n_eff"), **STAT)
+    return _r(m.msd(tracks(spark, d), MPP, FPS, LAGS, [*G, *K], undefined=NAN).withColumnRenamed("N", "n_eff"), **STAT)
 
 
 def imsd(spark, d):

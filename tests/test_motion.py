@@ -111,6 +111,16 @@ def test_emsd_powerlaw_of_sparse_tracks_as_sql(sparse_same):
     sparse_same("emsd_powerlaw")
 
 
+def test_msd_of_sparse_tracks_as_sql(sparse_same):
+    sparse_same("msd_detail")
+
+
+def test_msd_of_tracks_without_pairs(sparse, rows):
+    d = m.msd(sparse, 1, 1, 20, ["video_id", "particle"]).where("particle = 2")
+    assert rows(d, "video_id", "lag", "msd", "N") == [(v, lag, None, None) for v in (1, 2) for lag in range(1, 21)]
+    assert rows(m.imsd(sparse, 1, 1, 20, "N", ["video_id", "particle"]).where("particle = 2"), "N") == [(None,)] * 40
+
+
 def test_many_walks(spark):
     rng = np.random.RandomState(0)
     data = [(f, p, float(x), float(y)) for p in range(50) for f, (x, y) in enumerate(np.cumsum(rng.randn(10, 2), axis=0))]
